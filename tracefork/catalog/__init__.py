@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["reports", "token_queries"]
+MODULES = ["reports", "token_queries", "trace_queries", "detector_queries", "mixing_queries", "sweep_queries"]
 
 
 def load():

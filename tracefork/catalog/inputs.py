@@ -366,7 +366,7 @@ def all_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWEEP = [
     """ln0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS pid, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, * FROM lineitem)""",
-    "at AS ("
+    "att AS ("
     + " UNION ALL ".join(
         f"SELECT pid, k, '{c}' AS condition, {CONDITION_RULES[c]} AS correct, l_partkey % 97 + 1 AS n_tokens, "
         f"pid || '_' || k || '_{c}' AS req_key, l_partkey, l_suppkey, l_quantity FROM ln0"
@@ -376,7 +376,7 @@ SWEEP = [
     """oc AS (SELECT pid, k, condition, correct, n_tokens, req_key, condition <> 'retry' AND l_quantity > 25 AS fired,
         CASE WHEN condition <> 'retry' AND l_quantity > 25 THEN l_partkey % 200 END AS t_hat,
         CASE WHEN condition <> 'retry' AND l_quantity > 25 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'path' ELSE 'cov' END END AS tau_hat
-        FROM at)""",
+        FROM att)""",
     f"""dn AS (SELECT pid, k, 'dense' AS condition, {CONDITION_RULES['dense']} AS correct, l_partkey % 89 + 1 AS n_tokens,
         CASE WHEN l_suppkey % 2 = 0 THEN 'path' ELSE 'cov' END AS tau_hat FROM ln0 WHERE l_quantity > 25)""",
     """ao AS (SELECT pid, k, condition, correct FROM oc UNION ALL SELECT pid, k, condition, correct FROM dn)""",

@@ -9,6 +9,7 @@ from tracefork.catalog.registry import pick, pick_sql, query, r6, s6
 from tracefork.operators import background as bg
 from tracefork.operators import token_features as tf
 from tracefork.schemas import TRACE
+from tracefork.session import durable
 
 KEY = ["pid", "rollout_idx", "t"]
 
@@ -128,7 +129,7 @@ def background_sql(name: str, w: int = 1, q: float = 0.99) -> list[str]:
 
 def background(spark, sf, w: int = 1, q: float = 0.99):
     """Background of each problem's first two rollouts (all it has), one row per problem."""
-    cache = I.feature_cache(spark, sf)
+    cache = durable(I.feature_cache(spark, sf))
     return bg.backgrounds_for(cache.select(*TRACE), cache, [2], w, q).drop("k")
 
 
