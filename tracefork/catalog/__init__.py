@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["reports", "token_queries", "trace_queries", "detector_queries", "mixing_queries", "sweep_queries"]
+MODULES = [
+    "reports",
+    "input_queries",
+    "token_queries",
+    "trace_queries",
+    "detector_queries",
+    "mixing_queries",
+    "sweep_queries",
+    "stream_queries",
+]
 
 
 def load():
