@@ -198,8 +198,8 @@ def f14(spark, sf):
     return pick(ph.excess_maxima(I.signal_traces(spark, sf)), TRACE, ["g_max"])
 
 
-def maxima(spark, sf, correct: bool):
-    return ph.excess_maxima(I.signal_traces(spark, sf).where(F.col("is_correct") == correct))
+def curves(spark, sf):
+    return ph.exceedance_curves(ph.excess_maxima(I.signal_traces(spark, sf), carry=["is_correct"]))
 
 
 _GRID = ", ".join(f"({v})" for v in ph.LAMBDA_GRID)
@@ -216,12 +216,12 @@ CURVES = [*fold_sql("d_t", 20, 8.0), curve_sql("far", True), curve_sql("tpr", Fa
 
 @query("f15_false_alarm_curve", recursive(*CURVES, f"SELECT lam, n_far, {s6('far')} FROM far"))
 def f15(spark, sf):
-    return pick(ph.exceedance_curve(maxima(spark, sf, True)), ["lam", "n_far"], ["far"])
+    return pick(curves(spark, sf), ["lam", "n_far"], ["far"])
 
 
 @query("f16_detection_curve", recursive(*CURVES, f"SELECT lam, n_tpr, {s6('tpr')} FROM tpr"))
 def f16(spark, sf):
-    return pick(ph.exceedance_curve(maxima(spark, sf, False), name="tpr"), ["lam", "n_tpr"], ["tpr"])
+    return pick(curves(spark, sf), ["lam", "n_tpr"], ["tpr"])
 
 
 @query(
@@ -233,9 +233,7 @@ def f16(spark, sf):
     ),
 )
 def f17(spark, sf):
-    far = ph.exceedance_curve(maxima(spark, sf, True))
-    tpr = ph.exceedance_curve(maxima(spark, sf, False), name="tpr")
-    return pick(ph.calibrate_joint(far, tpr, target=0.25), ["chosen_lam", "lam_at_limit", "n_correct", "n_fail"], ["youdens_j"])
+    return pick(ph.calibrate_joint(curves(spark, sf), target=0.25), ["chosen_lam", "lam_at_limit", "n_correct", "n_fail"], ["youdens_j"])
 
 
 @query(
@@ -243,7 +241,7 @@ def f17(spark, sf):
     recursive(*CURVES, "SELECT min(lam) AS chosen_lam, false AS lam_at_limit, max(n_far) AS n_correct FROM far WHERE far <= 0.05"),
 )
 def f18(spark, sf):
-    return ph.calibrate_far(ph.exceedance_curve(maxima(spark, sf, True)))
+    return ph.calibrate_far(curves(spark, sf))
 
 
 @query("k2_detector_plugin", I.with_sql(*DEMOTION, "SELECT pid, rollout_idx, min(t) AS step FROM dm WHERE d_t > 1.5 AND t >= 20 GROUP BY pid, rollout_idx"))

@@ -70,8 +70,11 @@ def prompt_length(pid: Column) -> Column:
 
 
 def topk(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
+    return topk_of(logit_pairs(spark, sf_dir), k)
+
+
+def topk_of(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top-k log-probabilities of both models by absolute position; the taken token is always present."""
-    pairs = logit_pairs(spark, sf_dir)
 
     def entries(model: str, z: str) -> Column:
         ranked = A.top_entries(A.log_softmax(F.col(z)), 1_000_000)
@@ -130,13 +133,16 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logit_pairs(spark, sf_dir).select(
-        *TRACE, "t", (prompt_length(F.col("pid")) + F.col("t")).alias("pos"), "x_t"
-    )
+    return taken_of(logit_pairs(spark, sf_dir))
+
+
+def taken_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*TRACE, "t", (prompt_length(F.col("pid")) + F.col("t")).alias("pos"), "x_t")
 
 
 def pairs_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tf.pair_models(topk(spark, sf_dir), taken(spark, sf_dir), ranks="trusted", k_cov=K_COV)
+    pairs = logit_pairs(spark, sf_dir)
+    return tf.pair_models(topk_of(pairs), taken_of(pairs), ranks="trusted", k_cov=K_COV)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

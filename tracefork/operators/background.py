@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracefork.functions import arrays as A
 from tracefork.operators.selection import background_members
+from tracefork.plans.skew import salted_join
 from tracefork.schemas import TRACE
 
 # Fixed values of the estimation.
@@ -102,9 +104,9 @@ def backgrounds_for(
 ) -> DataFrame:
     """Background of every eligible (pid, k): the first ``k`` failures, all of them cached."""
     members = background_members(failed, cache, k_values, prompts)
-    whole = members.groupBy("pid", "k").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("k"))
-    chosen = members.join(whole.select("pid", "k"), ["pid", "k"], "left_semi")
-    rows = chosen.join(cache.select(*TRACE, "Delta_path", "G_cov", "V", "J_approx"), TRACE)
+    # A (pid, k) has at most k members, so its window is small.
+    chosen = members.withColumn("n", F.count("*").over(W.partitionBy("pid", "k"))).where(F.col("n") >= F.col("k"))
+    rows = chosen.select(*TRACE, "k").join(cache.select(*TRACE, "Delta_path", "G_cov", "V", "J_approx"), TRACE)
     return estimate_background(rows, ("pid", "k"), w, q_j, q_v)
 
 
@@ -117,7 +119,8 @@ def require_background(background: DataFrame) -> DataFrame:
 def with_background(cases: DataFrame, background: DataFrame, keys: Sequence[str] = ("pid", "k")) -> DataFrame:
     """Left join the background; a case without one gets the neutral default."""
     names = list(DEFAULT_BACKGROUND)
-    joined = cases.join(background.select(*keys, *names), list(keys), "left")
+    spread = [c for c in cases.columns if c not in keys] or list(keys)
+    joined = salted_join(cases, background.select(*keys, *names), keys, spread, "left")
     return joined.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in DEFAULT_BACKGROUND.items()})
 
 
@@ -147,7 +150,8 @@ def firing_position(
 ) -> DataFrame:
     """First ``t >= warmup`` with a full window and ``S_t > lambda_J``; only rollouts that fire."""
     bg = background.select(*keys, "lambda_J", "mu_path", "sig_path", "mu_cov", "sig_cov")
-    rows = scan_statistic(traces.select(*TRACE, "Delta_path", "G_cov", "J_approx"), w).join(bg, list(keys))
+    scans = scan_statistic(traces.select(*TRACE, "Delta_path", "G_cov", "J_approx"), w)
+    rows = salted_join(scans, bg, keys, ["rollout_idx"])
     fired = rows.withColumn(
         "t_hat", first_crossing(F.col("S"), F.col("lambda_J"), max(warmup, w - 1))
     ).where(F.col("t_hat").isNotNull())

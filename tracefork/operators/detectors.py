@@ -102,7 +102,8 @@ def select_top(steps: DataFrame, value: str, k: int = 1) -> DataFrame:
     The rank limit runs before the shuffle as well, so a long trace sends at most ``k`` rows per task.
     """
     w = W.partitionBy(*TRACE).orderBy(F.col(value).desc_nulls_last(), "t")
-    return steps.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
+    ranked = steps.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return ranked.withColumn("place", F.col("place").cast("bigint"))
 
 
 def coverage_gap(pairs: DataFrame, k: int = COVERAGE_TOP_K) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefork.functions import arrays as A
+from tracefork.plans.skew import salted_join
+from tracefork.schemas import TRACE
 
 # Fixed values of the operators.
 LOG_EPS = 1e-10
@@ -234,7 +236,7 @@ def inject(
     """
     if inject_top_k is not None:
         raise ValueError("inject_top_k is not supported at the injected position; use min-p or top-p")
-    rows = pairs.join(junctions.select("pid", "rollout_idx", "t_start"), ["pid", "rollout_idx"], "left")
+    rows = salted_join(pairs, junctions.select(*TRACE, "t_start"), TRACE, ["t"], "left")
     inside = F.coalesce(in_window(F.col("t"), F.col("t_start"), width), F.lit(False))
     scale = 1.0 if sampling or temperature <= 0 else float(temperature)
     z_s = F.transform("z_s", lambda x: x / F.lit(scale)) if scale != 1.0 else F.col("z_s")

@@ -44,11 +44,15 @@ def _next_mu(mu: Column, x: Column, beta: float) -> Column:
     return F.when(mu.isNull(), x).otherwise(F.lit(1 - beta) * mu + F.lit(beta) * x)
 
 
-def blocks_of(steps: DataFrame, signal: str, block: int = BLOCK) -> DataFrame:
-    """Arrays of at most ``block`` consecutive signal values; steps are numbered 0,1,2,… per trace."""
+def blocks_of(steps: DataFrame, signal: str, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
+    """Arrays of at most ``block`` consecutive signal values; steps are numbered 0,1,2,… per trace.
+
+    ``carry`` names columns that are constant along a trace.
+    """
+    number = F.floor(F.col("t") / block).cast("bigint")
     return (
-        steps.select(*TRACE, F.floor(F.col("t") / block).cast("bigint").alias("block"), "t", F.col(signal).alias("x"))
-        .groupBy(*TRACE, "block")
+        steps.select(*TRACE, *carry, number.alias("block"), "t", F.col(signal).alias("x"))
+        .groupBy(*TRACE, *carry, "block")
         .agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("xs"))
     )
 
@@ -136,25 +140,32 @@ def _start_states(blocks: DataFrame, armed: int, beta: float, block: int) -> Dat
 
 
 def fold_traces(
-    steps: DataFrame, signal: str, lam: float, armed: int, beta: float = BETA, block: int = BLOCK
+    steps: DataFrame,
+    signal: str,
+    lam: float,
+    armed: int,
+    beta: float = BETA,
+    block: int = BLOCK,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per trace: ``g_max`` and the first crossing (``step, g_at_fire, mu_at_fire, signal_at_fire``)."""
-    blocks = blocks_of(steps, signal, block)
+    blocks = blocks_of(steps, signal, block, carry)
     whole = (F.col("block") == 0) & (F.size("xs") < block)
     short = blocks.where(whole).withColumns({"mu0": _double(None), "g0": _double(0.0)})
     long = _start_states(blocks.where(~whole), armed, beta, block)
-    fields = [*TRACE, "block", "xs", "mu0", "g0"]
+    fields = [*TRACE, *carry, "block", "xs", "mu0", "g0"]
     folded = (
         short.select(*fields)
         .unionByName(long.select(*fields))
-        .select(*TRACE, "block", _fold(_double(lam), armed, beta).alias("r"))
+        .select(*TRACE, *carry, "block", _fold(_double(lam), armed, beta).alias("r"))
     )
     first = F.min_by("r", F.when(F.col("r.step").isNotNull(), F.col("block")))
     return (
-        folded.groupBy(*TRACE)
+        folded.groupBy(*TRACE, *carry)
         .agg(F.max("r.g_max").alias("g_max"), first.alias("r"))
         .select(
             *TRACE,
+            *carry,
             "g_max",
             F.col("r.step").alias("step"),
             F.col("r.g_fire").alias("g_at_fire"),
@@ -184,43 +195,53 @@ def detect(
     )
 
 
-def excess_maxima(steps: DataFrame, beta: float = BETA, signal: str = "d_t", block: int = BLOCK) -> DataFrame:
+def excess_maxima(
+    steps: DataFrame, beta: float = BETA, signal: str = "d_t", block: int = BLOCK, carry: Sequence[str] = ()
+) -> DataFrame:
     """Largest excess per trace, as calibration counts it (armed from ``t >= warmup``)."""
-    return fold_traces(steps, signal, float("inf"), warmup_steps(beta), beta, block).select(*TRACE, "g_max")
+    folded = fold_traces(steps, signal, float("inf"), warmup_steps(beta), beta, block, carry)
+    return folded.select(*TRACE, *carry, "g_max")
 
 
-def exceedance_curve(maxima: DataFrame, grid: Sequence[float] = tuple(LAMBDA_GRID), name: str = "far") -> DataFrame:
-    """Fraction of traces whose maximum exceeds each lambda; 0 for an empty population.
+def exceedance_curves(maxima: DataFrame, grid: Sequence[float] = tuple(LAMBDA_GRID)) -> DataFrame:
+    """``far`` over correct and ``tpr`` over failed traces of ``maxima(…, is_correct, g_max)``, per lambda.
 
-    One aggregate with a conditional count per grid value, then one row per lambda.
+    The fraction of a population whose maximum exceeds lambda; 0 for an empty one. All counts come from
+    one aggregate, then one row per lambda.
     """
-    hits = maxima.agg(F.count("*").alias("n"), *[F.count_if(F.col("g_max") > lam).alias(f"h{i}") for i, lam in enumerate(grid)])
+    groups = {"far": F.col("is_correct"), "tpr": ~F.col("is_correct")}
+    counts = [F.count_if(member).alias(f"n_{g}") for g, member in groups.items()]
+    over = [
+        F.count_if(member & (F.col("g_max") > lam)).alias(f"{g}_{i}")
+        for g, member in groups.items()
+        for i, lam in enumerate(grid)
+    ]
     rows = F.array(
-        *[F.struct(F.lit(float(lam)).alias("lam"), F.col(f"h{i}").alias("h")) for i, lam in enumerate(grid)]
-    )
-    return hits.select("n", F.explode(rows).alias("e")).select(
-        F.col("e.lam").alias("lam"),
-        F.coalesce(F.try_divide(F.col("e.h"), F.col("n")), F.lit(0.0)).alias(name),
-        F.col("n").alias(f"n_{name}"),
+        *[
+            F.struct(F.lit(float(lam)).alias("lam"), *[F.col(f"{g}_{i}").alias(g) for g in groups])
+            for i, lam in enumerate(grid)
+        ]
     )
+    share = [F.coalesce(F.try_divide(F.col(f"e.{g}"), F.col(f"n_{g}")), F.lit(0.0)).alias(g) for g in groups]
+    table = maxima.agg(*counts, *over).select("n_far", "n_tpr", F.explode(rows).alias("e"))
+    return table.select(F.col("e.lam").alias("lam"), *share, "n_far", "n_tpr")
 
 
-def calibrate_far(far: DataFrame, target: float = TARGET_FAR) -> DataFrame:
+def calibrate_far(curves: DataFrame, target: float = TARGET_FAR) -> DataFrame:
     """Smallest lambda within the false-alarm budget; the largest (flagged) if none or no traces."""
     ok = (F.col("far") <= target) & (F.col("n_far") > 0)
-    return far.agg(
+    return curves.agg(
         F.min(F.when(ok, F.col("lam"))).alias("best"), F.max("lam").alias("limit"), F.max("n_far").alias("n_correct")
     ).select(
         F.coalesce("best", "limit").alias("chosen_lam"), F.col("best").isNull().alias("lam_at_limit"), "n_correct"
     )
 
 
-def calibrate_joint(far: DataFrame, tpr: DataFrame, target: float = TARGET_FAR) -> DataFrame:
+def calibrate_joint(curves: DataFrame, target: float = TARGET_FAR) -> DataFrame:
     """Largest TPR - FAR within the budget, ties to the smaller lambda; largest lambda if infeasible."""
-    both = far.join(tpr, "lam")
     ok = (F.col("far") <= target) & (F.col("n_far") > 0) & (F.col("n_tpr") > 0)
     best = F.max(F.when(ok, F.struct((F.col("tpr") - F.col("far")).alias("j"), (-F.col("lam")).alias("neg"))))
-    return both.agg(
+    return curves.agg(
         best.alias("best"),
         F.max("lam").alias("limit"),
         F.max("n_far").alias("n_correct"),

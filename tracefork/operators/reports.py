@@ -52,9 +52,9 @@ def taxonomy(profiles: DataFrame) -> DataFrame:
 
     One aggregate over the rows; the rollup runs on its handful of counts.
     """
-    counts = classify(profiles).groupBy("cell", "label").agg(F.count("*").alias("n"))
-    every = counts.groupBy("label").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("cell"), "label", "n")
-    both = counts.unionByName(every)
+    counts = classify(profiles).groupBy("cell", "label").agg(F.count("*").alias("c"))
+    both = counts.rollup("label", "cell").agg(F.sum("c").alias("n"), F.grouping("label").alias("_all"))
+    both = both.where(F.col("_all") == 0).select("cell", "label", "n")
     total = F.sum("n").over(W.partitionBy("cell"))
     return both.withColumn("share", F.col("n") / total)
 

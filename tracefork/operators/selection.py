@@ -117,7 +117,8 @@ def first_failures(failed: DataFrame, k: int) -> DataFrame:
     The rank filter is pushed below the shuffle, so a hot problem sends at most ``k`` rows per task.
     """
     w = W.partitionBy("pid").orderBy("rollout_idx")
-    return failed.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
+    ranked = failed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return ranked.withColumn("place", F.col("place").cast("bigint"))
 
 
 def eligible_pairs(

@@ -83,9 +83,18 @@ def _of(condition: str, value: str) -> Column:
 
 
 def fold_results(outcomes: DataFrame, conditions: Sequence[str], fields: Sequence[str] = ("correct", "fired", "t_hat", "tau_hat")) -> DataFrame:
-    """One record per (pid, k): ``<condition>_<field>`` columns."""
-    return outcomes.groupBy(*CASE).agg(
-        *[_of(c, f).alias(f"{c}_{f}") for c in conditions for f in fields]
+    """One record per (pid, k): ``<condition>_<field>`` columns.
+
+    Directions travel as a flag, so that the aggregate keeps to fixed-width buffers and hashes.
+    """
+    coded = outcomes
+    if "tau_hat" in fields:
+        coded = coded.withColumn("tau_hat", F.col("tau_hat") == "path")
+    folded = coded.groupBy(*CASE).agg(*[_of(c, f).alias(f"{c}_{f}") for c in conditions for f in fields])
+    if "tau_hat" not in fields:
+        return folded
+    return folded.withColumns(
+        {f"{c}_tau_hat": F.when(F.col(f"{c}_tau_hat"), "path").when(~F.col(f"{c}_tau_hat"), "cov") for c in conditions}
     )
 
 

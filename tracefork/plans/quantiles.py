@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracefork.plans.skew import salted_join
+from tracefork.session import durable
 
 BINS = 4096
-LEVELS = 2
+MAX_RANKED = 1_000_000
+MAX_LEVELS = 4
 
 
 def _bin(lo: str, hi: str, bins: int) -> Column:
@@ -22,44 +24,51 @@ def _bin(lo: str, hi: str, bins: int) -> Column:
 
 
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, bins: int = BINS, levels: int = LEVELS
+    df: DataFrame, keys: Sequence[str], value: str, q: float, bins: int = BINS, max_ranked: int = MAX_RANKED
 ) -> DataFrame:
     """``(keys, quantile)`` as ``numpy.quantile`` gives it; null values are ignored.
 
-    Equal values are first counted together (map-side). Each level then bins a group's remaining range,
-    finds the bins holding the two wanted order statistics from the bin counts, and keeps only those.
-    What is ranked row by row at the end is a ``bins ** levels``-th of a group, and no step gathers a
-    group in memory.
+    Equal values are first counted together (map-side) and the counts written once. While some group has
+    more than ``max_ranked`` distinct values left, every group's range is cut into bins, the bins holding
+    the two wanted order statistics are found from the bin counts, and only their values are kept. The
+    final ranking is a sorted, spillable window; no step gathers a group in memory.
     """
     keys = list(keys)
-    counts = (
+    counts = durable(
         df.select(*keys, F.col(value).cast("double").alias("value"))
         .where(F.col("value").isNotNull())
         .groupBy(*keys, "value")
         .agg(F.count("*").alias("n"))
     )
-    bounds = counts.groupBy(*keys).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
-    )
     at = (F.col("total") - 1) * F.lit(float(q))
-    bounds = bounds.select(
-        *keys,
-        "lo",
-        "hi",
-        F.floor(at).cast("bigint").alias("r0"),
-        F.least(F.floor(at) + 1, F.col("total") - 1).cast("bigint").alias("r1"),
-        (at - F.floor(at)).alias("frac"),
-        F.lit(0).cast("bigint").alias("skipped"),
+    bounds = durable(
+        counts.groupBy(*keys)
+        .agg(
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.sum("n").alias("total"),
+            F.count("*").alias("left"),
+        )
+        .select(
+            *keys,
+            "lo",
+            "hi",
+            F.floor(at).cast("bigint").alias("r0"),
+            F.least(F.floor(at) + 1, F.col("total") - 1).cast("bigint").alias("r1"),
+            (at - F.floor(at)).alias("frac"),
+            F.lit(0).cast("bigint").alias("skipped"),
+            "left",
+        )
     )
     remaining = counts
-    for _ in range(levels):
+    for _ in range(MAX_LEVELS):
+        if bounds.where(F.col("left") > max_ranked).isEmpty():
+            break
         remaining, bounds = _narrow(remaining, bounds, keys, bins)
     upto = W.partitionBy(*keys).orderBy("value")
     ranked = salted_join(
         remaining, bounds.select(*keys, "r0", "r1", "frac", "skipped"), keys, ["value"]
-    ).withColumn(
-        "cum", F.sum("n").over(upto) + F.col("skipped")
-    )
+    ).withColumn("cum", F.sum("n").over(upto) + F.col("skipped"))
 
     def order_stat(r: str) -> Column:
         return F.min(F.when(F.col("cum") > F.col(r), F.col("value")))
@@ -72,26 +81,35 @@ def exact_quantile(
 
 
 def _narrow(rows: DataFrame, bounds: DataFrame, keys: list[str], bins: int) -> tuple[DataFrame, DataFrame]:
+    """Keep the values of the bins that hold the wanted ranks; both results are written once."""
     binned = salted_join(rows, bounds, keys, ["value"]).withColumn("bin", _bin("lo", "hi", bins))
     hist = binned.groupBy(*keys, "bin").agg(
         F.sum("n").alias("n"),
+        F.count("*").alias("left"),
         F.min("value").alias("b_lo"),
         F.max("value").alias("b_hi"),
         *[F.first(c).alias(c) for c in ("r0", "r1", "frac", "skipped")],
     )
     upto = W.partitionBy(*keys).orderBy("bin")
     cum = hist.withColumn("cum", F.sum("n").over(upto) + F.col("skipped"))
-    # A bin is kept if it holds an order statistic: ranks are 0-based, the bin covers [cum - n, cum).
+    # Ranks are 0-based: a bin covers [cum - n, cum).
     holds = [(F.col("cum") > F.col(r)) & (F.col("cum") - F.col("n") <= F.col(r)) for r in ("r0", "r1")]
-    kept = cum.where(holds[0] | holds[1])
-    narrowed = binned.select(*keys, "value", "n", "bin").join(kept.select(*keys, "bin"), [*keys, "bin"], "left_semi")
+    kept = durable(cum.where(holds[0] | holds[1]))
+    narrowed = durable(
+        binned.select(*keys, "value", "n", "bin")
+        .join(kept.select(*keys, "bin"), [*keys, "bin"], "left_semi")
+        .drop("bin")
+    )
     # The two wanted ranks are neighbours, so between two kept bins there is no other value.
-    next_bounds = kept.groupBy(*keys).agg(
-        F.min("b_lo").alias("lo"),
-        F.max("b_hi").alias("hi"),
-        F.first("r0").alias("r0"),
-        F.first("r1").alias("r1"),
-        F.first("frac").alias("frac"),
-        F.min(F.col("cum") - F.col("n")).alias("skipped"),
+    next_bounds = durable(
+        kept.groupBy(*keys).agg(
+            F.min("b_lo").alias("lo"),
+            F.max("b_hi").alias("hi"),
+            F.first("r0").alias("r0"),
+            F.first("r1").alias("r1"),
+            F.first("frac").alias("frac"),
+            F.min(F.col("cum") - F.col("n")).alias("skipped"),
+            F.sum("left").alias("left"),
+        )
     )
-    return narrowed.drop("bin"), next_bounds
+    return narrowed, next_bounds

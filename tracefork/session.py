@@ -48,9 +48,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives lost executors, no lineage behind it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written once as a table in the shared folder: survives lost executors, no lineage behind it.
+
+    Columnar, so readers prune columns and Spark knows its true size when it plans joins.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
