@@ -15,7 +15,8 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     ``bucket`` must not decrease along ``order`` (a coarser form of its leading columns). Rows are
     sorted per (key, bucket) only, so a key holding a large share of the table is spread over its
     buckets; the places before a bucket are a running sum over the bucket counts. The numbers are a
-    function of the data alone, so recomputed tasks give the same ones.
+    function of the data alone, so recomputed tasks give the same ones. Every bucket has its offset; the
+    left join lets Spark drop the whole numbering where a query does not use it.
     """
     parts = [*keys, "_bucket"]
     rows = df.withColumn("_bucket", bucket).repartition(*parts)
@@ -29,7 +30,7 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     place = F.row_number().over(W.partitionBy(*parts).orderBy(*order)) - 1
     return (
         rows.withColumn("_place", place)
-        .join(offsets, parts)
+        .join(offsets, parts, "left")
         .withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint"))
         .drop("_bucket", "_place", "_before")
     )
