@@ -62,10 +62,12 @@ def regex(pattern: str) -> CorrectnessColumn:
 def python_check(fn: Callable[[dict, str], bool], answer_key: str = "answer") -> CorrectnessColumn:
     """Wrap a Python ``fn(problem, text) -> bool`` for checks that no column expression can state."""
 
-    @F.pandas_udf("boolean")
     def run(text: pd.Series, gold: pd.Series) -> pd.Series:
         return pd.Series(
             [bool(fn({} if g is None else {answer_key: g}, "" if t is None else t)) for t, g in zip(text, gold)]
         )
 
-    return run
+    def check(text: Column, gold: Column) -> Column:
+        return F.pandas_udf(run, "boolean")(text, gold)
+
+    return check
