@@ -32,11 +32,12 @@ def test_exact_quantile_equals_numpy(spark, max_ranked, bins, q):
         assert got[k] == pytest.approx(np.quantile(vs, q), rel=1e-12), k
 
 
-def test_numbering_is_dense_and_ordered(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100, 10_000])
+def test_numbering_is_dense_and_ordered(spark, hot_rows):
     rng = random.Random(6)
     rows = [("hot" if i % 3 else f"k{i % 7}", rng.randrange(40), i) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, a int, b int")
-    got = number_within(df, ["k"], ["a", "b"], F.floor(F.col("a") / 8), "n").collect()
+    got = number_within(df, ["k"], ["a", "b"], F.floor(F.col("a") / 8), "n", hot_rows).collect()
     assert len(got) == len(rows)
     for k in {r[0] for r in rows}:
         wanted = sorted((a, b) for kk, a, b in rows if kk == k)

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracefork.functions import arrays as A
 from tracefork.schemas import TRACE
+from tracefork.session import durable
 
 # Fixed values of the detector and its calibration.
 BETA = 0.05
@@ -41,7 +41,16 @@ def _double(value) -> Column:
 
 
 def _next_mu(mu: Column, x: Column, beta: float) -> Column:
-    return F.when(mu.isNull(), x).otherwise(F.lit(1 - beta) * mu + F.lit(beta) * x)
+    return F.lit(1 - beta) * mu + F.lit(beta) * x
+
+
+def _entry_mu() -> Column:
+    """The mean before ``_steps()``: the first value of a trace starts its own mean."""
+    return F.coalesce(F.col("mu0"), F.get("xs", F.lit(0))["x"])
+
+
+def _steps() -> Column:
+    return F.when(F.col("mu0").isNull(), F.slice("xs", F.lit(2), F.size("xs"))).otherwise(F.col("xs"))
 
 
 def blocks_of(steps: DataFrame, signal: str, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
@@ -54,43 +63,52 @@ def blocks_of(steps: DataFrame, signal: str, block: int = BLOCK, carry: Sequence
         steps.select(*TRACE, *carry, number.alias("block"), "t", F.col(signal).alias("x"))
         .groupBy(*TRACE, *carry, "block")
         .agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("xs"))
+        .withColumn("n", F.size("xs"))
     )
 
 
-def _fold(lam: Column, armed: int, beta: float) -> Column:
-    """Fold a block from ``(mu0, g0)``: final excess, its maximum, and the first crossing of ``lam``."""
-    none = _double(None)
+def _advance(acc: Column, e: Column, armed: int, beta: float) -> tuple[Column, Column]:
+    """(mean, excess) after one more step; the excess stands still until armed.
+
+    The mean is spelled out twice rather than bound: it is two multiplications.
+    """
+    mu = _next_mu(acc["mu"], e["x"], beta)
+    g = F.when(e["t"] >= armed, F.greatest(_double(0.0), acc["g"] + (e["x"] - mu))).otherwise(acc["g"])
+    return mu, g
+
+
+def _fold_max(armed: int, beta: float) -> Column:
+    """Largest excess within a block begun at ``(mu0, g0)``."""
+    start = F.struct(_entry_mu().alias("mu"), F.col("g0").alias("g"), _double(0.0).alias("top"))
+
+    def step(acc: Column, e: Column) -> Column:
+        mu, g = _advance(acc, e, armed, beta)
+        return F.struct(mu.alias("mu"), g.alias("g"), F.greatest(acc["top"], g).alias("top"))
+
+    return F.aggregate(_steps(), start, step, lambda acc: acc["top"])
+
+
+def _fold_fire(lam: Column, armed: int, beta: float) -> Column:
+    """State at the first step of a block where the excess passes ``lam``; null if none does.
+
+    The fold freezes once it has fired.
+    """
     start = F.struct(
-        F.col("mu0").alias("mu"),
+        _entry_mu().alias("mu"),
         F.col("g0").alias("g"),
-        _double(0.0).alias("g_max"),
         F.lit(None).cast("bigint").alias("step"),
-        none.alias("g_fire"),
-        none.alias("mu_fire"),
-        none.alias("x_fire"),
+        _double(None).alias("x"),
     )
 
     def step(acc: Column, e: Column) -> Column:
-        return A.let(
-            _next_mu(acc["mu"], e["x"], beta),
-            lambda mu: A.let(
-                F.when(e["t"] >= armed, F.greatest(_double(0.0), acc["g"] + (e["x"] - mu))).otherwise(acc["g"]),
-                lambda g: A.let(
-                    acc["step"].isNull() & (e["t"] >= armed) & (g > lam),
-                    lambda hit: F.struct(
-                        mu.alias("mu"),
-                        g.alias("g"),
-                        F.greatest(acc["g_max"], g).alias("g_max"),
-                        F.when(hit, e["t"]).otherwise(acc["step"]).alias("step"),
-                        F.when(hit, g).otherwise(acc["g_fire"]).alias("g_fire"),
-                        F.when(hit, mu).otherwise(acc["mu_fire"]).alias("mu_fire"),
-                        F.when(hit, e["x"]).otherwise(acc["x_fire"]).alias("x_fire"),
-                    ),
-                ),
-            ),
-        )
+        mu, g = _advance(acc, e, armed, beta)
+        moved = F.struct(mu.alias("mu"), g.alias("g"), e["t"].alias("step"), e["x"].alias("x"))
+        return F.when(fired(acc), acc).otherwise(moved)
 
-    return F.aggregate("xs", start, step)
+    def fired(acc: Column) -> Column:
+        return acc["step"].isNotNull() & (acc["g"] > lam)
+
+    return F.aggregate(_steps(), start, step, lambda acc: F.when(fired(acc), acc))
 
 
 def _start_states(blocks: DataFrame, armed: int, beta: float, block: int) -> DataFrame:
@@ -103,34 +121,27 @@ def _start_states(blocks: DataFrame, armed: int, beta: float, block: int) -> Dat
     # of a block is a geometric sum over the blocks before it. Terms below 1e-20 are beyond a double.
     decay = (1 - beta) ** block
     reach = max(1, math.ceil(math.log(1e-20) / math.log(decay))) if decay > 0 else 1
-    end_from = F.aggregate(
-        "xs",
-        F.when(F.col("block") == 0, _double(None)).otherwise(_double(0.0)),
-        lambda mu, e: _next_mu(mu, e["x"], beta),
-    )
+    end_from = F.aggregate(_steps(), _entry_mu(), lambda mu, e: _next_mu(mu, e["x"], beta))
+    own = blocks.withColumn("mu0", F.when(F.col("block") > 0, _double(0.0)))
     earlier = F.collect_list("b").over(order.rowsBetween(-reach, -1))
     mu0 = F.when(F.col("block") > 0, F.aggregate(earlier, _double(0.0), lambda mu, b: mu * F.lit(decay) + b))
-    starts = blocks.select(*TRACE, "block", end_from.alias("b")).select(*TRACE, "block", mu0.alias("mu0"))
+    starts = own.select(*TRACE, "block", end_from.alias("b")).select(*TRACE, "block", mu0.alias("mu0"))
     with_mu = blocks.join(starts, [*TRACE, "block"])
     # The excess: each block maps g to max(a, g + b); chained through prefix sums and a running maximum.
-    init = F.struct(F.col("mu0").alias("mu"), _double(0.0).alias("a"), _double(0.0).alias("b"))
+    init = F.struct(_entry_mu().alias("mu"), _double(0.0).alias("a"), _double(0.0).alias("b"))
 
     def shift(acc: Column, e: Column) -> Column:
-        return A.let(
-            _next_mu(acc["mu"], e["x"], beta),
-            lambda mu: F.when(
-                e["t"] >= armed,
-                F.struct(
-                    mu.alias("mu"),
-                    F.greatest(_double(0.0), acc["a"] + (e["x"] - mu)).alias("a"),
-                    (acc["b"] + (e["x"] - mu)).alias("b"),
-                ),
-            ).otherwise(F.struct(mu.alias("mu"), acc["a"].alias("a"), acc["b"].alias("b"))),
+        mu = _next_mu(acc["mu"], e["x"], beta)
+        on = e["t"] >= armed
+        return F.struct(
+            mu.alias("mu"),
+            F.when(on, F.greatest(_double(0.0), acc["a"] + (e["x"] - mu))).otherwise(acc["a"]).alias("a"),
+            F.when(on, acc["b"] + (e["x"] - mu)).otherwise(acc["b"]).alias("b"),
         )
 
     before = order.rowsBetween(W.unboundedPreceding, -1)
     maps = (
-        with_mu.select(*TRACE, "block", F.aggregate("xs", init, shift).alias("s"))
+        with_mu.select(*TRACE, "block", F.aggregate(_steps(), init, shift).alias("s"))
         .select(*TRACE, "block", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
         .withColumn("p", F.coalesce(F.sum("b").over(before), _double(0.0)))
         .withColumn("m", F.coalesce(F.max(F.col("a") - F.col("p") - F.col("b")).over(before), _double(0.0)))
@@ -149,29 +160,28 @@ def fold_traces(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per trace: ``g_max`` and the first crossing (``step, g_at_fire, mu_at_fire, signal_at_fire``)."""
-    blocks = blocks_of(steps, signal, block, carry)
-    whole = (F.col("block") == 0) & (F.size("xs") < block)
-    short = blocks.where(whole).withColumns({"mu0": _double(None), "g0": _double(0.0)})
-    long = _start_states(blocks.where(~whole), armed, beta, block)
-    fields = [*TRACE, *carry, "block", "xs", "mu0", "g0"]
-    folded = (
-        short.select(*fields)
-        .unionByName(long.select(*fields))
-        .select(*TRACE, *carry, "block", _fold(_double(lam), armed, beta).alias("r"))
-    )
-    first = F.min_by("r", F.when(F.col("r.step").isNotNull(), F.col("block")))
-    return (
-        folded.groupBy(*TRACE, *carry)
-        .agg(F.max("r.g_max").alias("g_max"), first.alias("r"))
-        .select(
-            *TRACE,
-            *carry,
-            "g_max",
-            F.col("r.step").alias("step"),
-            F.col("r.g_fire").alias("g_at_fire"),
-            F.col("r.mu_fire").alias("mu_at_fire"),
-            F.col("r.x_fire").alias("signal_at_fire"),
-        )
+    # Written once: the long branch reads the blocks several times.
+    blocks = durable(blocks_of(steps, signal, block, carry))
+    whole = (F.col("block") == 0) & (F.col("n") < block)
+
+    def folded(states: DataFrame) -> DataFrame:
+        top, fire = _fold_max(armed, beta), _fold_fire(_double(lam), armed, beta)
+        return states.select(*TRACE, *carry, "block", top.alias("g_max"), fire.alias("r"))
+
+    traces = folded(blocks.where(whole).withColumns({"mu0": _double(None), "g0": _double(0.0)})).drop("block")
+    long = blocks.where(~whole)
+    if not long.isEmpty():
+        first = F.min_by("r", F.when(F.col("r").isNotNull(), F.col("block")))
+        per_trace = folded(_start_states(long, armed, beta, block)).groupBy(*TRACE, *carry)
+        traces = traces.unionByName(per_trace.agg(F.max("g_max").alias("g_max"), first.alias("r")))
+    return traces.select(
+        *TRACE,
+        *carry,
+        "g_max",
+        F.col("r.step").alias("step"),
+        F.col("r.g").alias("g_at_fire"),
+        F.col("r.mu").alias("mu_at_fire"),
+        F.col("r.x").alias("signal_at_fire"),
     )
 
 
