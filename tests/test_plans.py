@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracefork.plans.numbering import number_within
 from tracefork.plans.quantiles import exact_quantile
 from tracefork.plans.skew import salted_join
+from tracefork.session import durable, fresh_path, shared_dir, small_side
 
 
 def groups():
@@ -55,3 +56,36 @@ def test_salted_join_equals_plain_join(spark, how):
     assert sorted(map(tuple, salted.select(cols).collect()), key=str) == sorted(
         map(tuple, plain.select(cols).collect()), key=str
     )
+
+
+class Unnamed:
+    """A session without ``spark.checkpoint.dir``; its context may or may not name a folder."""
+
+    def __init__(self, folder=None):
+        self.folder, self.conf, self.sparkContext = folder, self, self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_follows_the_session(spark, tmp_path, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_dir(spark) == named.rstrip("/")
+    assert shared_dir(Unnamed("hdfs:///shared/")) == "hdfs:///shared"
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    fresh = Unnamed()
+    assert shared_dir(fresh).startswith(str(tmp_path)) and shared_dir(fresh) == fresh.folder
+    assert fresh_path(spark, "x").startswith(shared_dir(spark)) and fresh_path(spark, "x") != fresh_path(spark, "x")
+    assert durable(spark.range(5)).count() == 5
+
+
+def test_broadcast_only_below_the_bound(spark):
+    plan = lambda n: spark.range(100).join(small_side(spark.range(50), n), "id")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(50) and "broadcast" not in plan(49)

@@ -6,13 +6,12 @@ import pytest
 
 from tracefork.functions.answers import numeric_answer
 from tracefork.operators import background as bg
-from tracefork.operators import page_hinkley as ph
 from tracefork.plans.failed_trace import TraceConfig, cache_features, plan_repair, select_sequences
 from tracefork.schemas import TOPK
 from tracefork.sources import feature_cache as fc
 from tracefork.streaming.incremental import extract_stream
 from tracefork.streaming.ordering import StepBuffer
-from tracefork.streaming.page_hinkley import detect_stream
+from tracefork.streaming.page_hinkley import PageHinkley
 from tracefork.streaming.scan_statistic import scan_stream
 
 STEP = "pid string, rollout_idx long, t long, d_t double"
@@ -53,8 +52,9 @@ def scatter(rows, n, seed):
 def test_page_hinkley_stream_equals_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [(f"p{i}", r, t, rng.gauss(0.03 * t * (i % 2), 1.0)) for i in range(6) for r in range(2) for t in range(60)]
-    batch = ph.detect(spark.createDataFrame(rows, STEP), lam=8.0).collect()
-    stream = detect_stream(file_stream(spark, tmp_path / "in", scatter(rows, 3, 1), STEP), lam=8.0)
+    detector = PageHinkley(lam=8.0)
+    batch = detector.batch(spark.createDataFrame(rows, STEP)).collect()
+    stream = detector.stream(file_stream(spark, tmp_path / "in", scatter(rows, 3, 1), STEP))
     got = collect_stream(stream, tmp_path, "out")
     assert 0 < len(batch) < 12
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))

@@ -8,7 +8,9 @@ from tracefork.catalog import inputs as I
 from tracefork.catalog.registry import pick, pick_sql, query, r6, s6
 from tracefork.operators import reports as rp
 from tracefork.operators import routing as rt
-from tracefork.schemas import INTERVENTIONS
+from tracefork.schemas import INTERVENTIONS, PROFILE
+from tracefork.session import fresh_path
+from tracefork.sources.profiles import load_profiles
 
 FEATS = ["spread", "concentration", "logit_dispersion"]
 ZS = [f"z_{f}" for f in FEATS]
@@ -66,7 +68,13 @@ BEST_BY_CELL = "bs AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY r
 
 @query("a14_profiles", I.with_sql(*I.PROFILES, f"SELECT {pick_sql(['cell', 'problem_id', 'n_failed_rollouts'], [*FEATS, *I.RATES])} FROM pf"))
 def a14(spark, sf):
-    return pick(I.profiles(spark, sf), ["cell", "problem_id", "n_failed_rollouts"], [*FEATS, *I.RATES])
+    """Profiles written as CSV and loaded back by name."""
+    path = fresh_path(spark, "profiles")
+    cell = F.col("cell")
+    full = I.profiles(spark, sf).withColumns({"model": F.substring(cell, 1, 1), "task": F.substring(cell, 3, 20)})
+    full.select(*PROFILE.names).write.option("header", True).csv(path)
+    loaded = load_profiles(spark, path).withColumn("n_failed_rollouts", F.col("n_failed_rollouts").cast("bigint"))
+    return pick(loaded, ["cell", "problem_id", "n_failed_rollouts"], [*FEATS, *I.RATES])
 
 
 @query("j1_zscore_by_cell", I.with_sql(*I.PROFILES, f"zc AS ({z_sql('pf', 'cell')})", f"SELECT {pick_sql(['cell', 'problem_id'], ZS)} FROM zc"))

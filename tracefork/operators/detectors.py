@@ -29,7 +29,11 @@ SEED = 42
 
 
 class Detector(Protocol):
-    """The plug-in surface: a batch plan, and optionally a streaming one over the same columns."""
+    """The plug-in surface: a batch plan over a step table.
+
+    A stateful detector adds ``stream(steps)`` over the same columns, as ``streaming.PageHinkley`` does;
+    grouping by rollout is its reset.
+    """
 
     def batch(self, steps: DataFrame) -> DataFrame: ...
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracefork.operators.page_hinkley import BETA, MIN_STEP, SIGNALS, first_armed_step
+from tracefork.operators.page_hinkley import BETA, MIN_STEP, SIGNALS, detect, first_armed_step
 from tracefork.schemas import TRACE
 from tracefork.streaming.ordering import StepBuffer
 
@@ -66,3 +67,19 @@ def detect_stream(
         .groupBy(*TRACE)
         .applyInPandasWithState(update, FIRE_SCHEMA, _STATE, "append", timeout)
     )
+
+
+@dataclass(frozen=True)
+class PageHinkley:
+    """The detector plug-in: one setting, over a table or over a stream."""
+
+    lam: float
+    beta: float = BETA
+    min_step: int = MIN_STEP
+    signal_type: str = "demotion"
+
+    def batch(self, steps: DataFrame) -> DataFrame:
+        return detect(steps, self.lam, self.beta, self.min_step, self.signal_type)
+
+    def stream(self, steps: DataFrame) -> DataFrame:
+        return detect_stream(steps, self.lam, self.beta, self.min_step, self.signal_type)
