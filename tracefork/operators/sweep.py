@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefork.functions.draws import draw_between, draw_direction
-from tracefork.operators.background import WARMUP, wrong_direction  # noqa: F401  (part of this surface)
+from tracefork.operators.background import WARMUP
 
 # Fixed values of the sweep.
 BASE_CONDITIONS = ["retry", "rand", "geo_pred", "geo_wrong"]
@@ -18,6 +18,14 @@ STEERING = ["rand", "geo_pred", "geo_wrong", "dense"]
 SPARSE = ["geo_pred", "geo_wrong", "rand"]
 BACKGROUND_SCALARS = ["mu_path", "sig_path", "mu_cov", "sig_cov", "mu_logV", "sig_logV", "lambda_J", "lambda_V"]
 
+# The class names records carry, in their order.
+RESCUER_CLASSES = {
+    "retry": "retry",
+    "sparse": "sparse steer",
+    "dense": "dense steer",
+    "local_temp": "local temperature lift",
+}
+
 CASE = ["pid", "k"]
 
 
@@ -176,9 +184,8 @@ def regimes(flags: DataFrame) -> DataFrame:
 
 def rescuer_classes(flags: DataFrame) -> DataFrame:
     """``rescuers``: the classes that rescued, in fixed order."""
-    named = {"retry": "retry", "sparse": "sparse steer", "dense": "dense steer", "local_temp": "local temperature lift"}
     return flags.withColumn(
-        "rescuers", F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in named.items()]))
+        "rescuers", F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in RESCUER_CLASSES.items()]))
     )
 
 
