@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check_oracle import compare, connect
+from tracefork import catalog
 
 SAMPLE = [
     "a4_line_numbers", "a5_a7_cache_scan", "a8_last_shard_wins", "a11_raw_capture", "a12_logit_windows", "a17_fire_read_back",
@@ -26,7 +27,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("ORACLE_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.load()[0]) if os.environ.get("ORACLE_ALL") else SAMPLE)
 def test_query_matches_oracle(spark, con, name):
     difference, rows = compare(spark, con, name, SF_DIR)
     assert difference == ""
@@ -34,7 +35,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_only_the_projection_has_no_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"j17_principal_plane"}
+    queries, oracle = catalog.load()
+    assert set(queries) - set(oracle) == {"j17_principal_plane"}
 
 
 def test_entry_has_a_verdict_per_cell(spark):
