@@ -11,6 +11,7 @@ from tracefork.llm import licenses, quality
 from tracefork.llm.decontamination import leak_digest, mark_leaks
 from tracefork.llm.packing import pack
 from tracefork.llm.sharding import shard
+from tracefork.llm.suffix_dedup import remove_repeats
 from tracefork.llm.tables import table
 from tracefork.llm.url_filter import judge_urls
 
@@ -24,6 +25,10 @@ URL_RULES = [
 ]
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -130,6 +135,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_sharding": op4_sharding,
         "op5_licenses": op5_licenses,
         "op6_url_filter": op6_url_filter,
