@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefork.llm import licenses, quality
 from tracefork.llm.decontamination import leak_digest, mark_leaks
+from tracefork.llm.html_extraction import extract_text
 from tracefork.llm.ngram_join import similar_documents
 from tracefork.llm.packing import pack
 from tracefork.llm.sharding import shard
@@ -30,6 +31,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
@@ -141,6 +146,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_html_extraction": op2_html_extraction,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_sharding": op4_sharding,
         "op5_licenses": op5_licenses,
