@@ -15,6 +15,7 @@ from tracefork.llm.packing import pack
 from tracefork.llm.sharding import shard
 from tracefork.llm.suffix_dedup import remove_repeats
 from tracefork.llm.tables import table
+from tracefork.llm.toxicity import grade_toxicity, train
 from tracefork.llm.url_filter import judge_urls
 
 #: The rules of the url query: (verdict, host, path).
@@ -57,6 +58,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return grade_toxicity(docs, train(docs, table(spark, sf_dir, "labels")), keep_text=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(F.col(f"quality.{c}") for c in QUALITY_COLUMNS))
@@ -151,6 +157,7 @@ def queries() -> dict[str, Query]:
         "op4_sharding": op4_sharding,
         "op5_licenses": op5_licenses,
         "op6_url_filter": op6_url_filter,
+        "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
