@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from tracefork.llm.blocks import by_bucket, joined, pack_ids, runs_of, unpack_ids
 from tracefork.llm.components import components
 from tracefork.llm.hashing import mixed
-from tracefork.llm.tables import parts_for, settle, text_bytes
+from tracefork.llm.tables import free_name, parts_for, settle, text_bytes
 from tracefork.llm.words import slices, spaced_words, texts
 from tracefork.session import small_side
 
@@ -134,10 +134,16 @@ def bands_of(n: int) -> list[int]:
     return [band, band - 1] if below else [band]
 
 
+def row_names() -> tuple[Column, Column]:
+    """The id, or for rows without one a number above all ids; a hash of the text."""
+    text = F.xxhash64("text")
+    return F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(text, F.lit(1 << 61))).cast("bigint"), text
+
+
 def named(docs: DataFrame) -> DataFrame:
-    """(``_id``, ``_hash``, ``_text``): the id, or for rows without one a number above all ids; a hash of the text."""
-    ident = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).cast("bigint")
-    return docs.select(ident.alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    """(``_id``, ``_hash``, ``_text``) of every row."""
+    ident, text = row_names()
+    return docs.select(ident.alias("_id"), text.alias("_hash"), F.col("text").alias("_text"))
 
 
 MEMBERS = StructType([StructField(n, LongType()) for n in ("_id", "_hash", "n", "high", "low")])
@@ -363,6 +369,23 @@ def candidate_links(rows: DataFrame, total: int) -> DataFrame:
     return links.unionByName(settle(compared(rest, sets)))
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """(``_id``, ``_hash``, ``n``, ``component``) of every row, by the names that ``named`` gives."""
+    rows = named(docs)
+    members = settle(rows.mapInArrow(measure, MEMBERS))
+    same = ["n", "high", "low"]
+    first = members.where("n > 0").groupBy(*same).agg(F.min(F.struct("_id", "_hash")).alias("first"))
+    known = settle(members.join(first, same, "left"))
+    copies = known.where("first is not null and (_id, _hash) <> (first._id, first._hash)")
+    wordless = known.where("first is null")
+    skipped = copies.select("_id", "_hash").unionByName(wordless.select("_id", "_hash")).distinct()
+    links = candidate_links(restricted(rows, skipped, ["_id", "_hash"], "left_anti"), text_bytes(docs))
+    own = copies.select(F.col("_id").alias("a"), F.col("first._id").alias("b")).where("a <> b")
+    made = components(links.unionByName(own)).withColumnRenamed("id", "_id")
+    out = known.join(made, "_id", "left")
+    return out.select("_id", "_hash", "n", F.coalesce("component", "_id").alias("component"))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``) for each row of ``docs``.
 
@@ -370,22 +393,24 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Rows of one id count as one document. A row without id gets its component's smallest id, null if that has none. An
     empty table gives no rows. Other columns are not read.
     """
-    rows = named(docs)
-    members = settle(rows.mapInArrow(measure, MEMBERS))
-    same = ["n", "high", "low"]
-    first = members.where("n > 0").groupBy(*same).agg(F.min(F.struct("_id", "_hash")).alias("first"))
-    joined_ = settle(members.join(first, same, "left"))
-    copies = joined_.where("first is not null and (_id, _hash) <> (first._id, first._hash)")
-    wordless = joined_.where("first is null")
-    skipped = copies.select("_id", "_hash").unionByName(wordless.select("_id", "_hash")).distinct()
-    distinct = restricted(rows, skipped, ["_id", "_hash"], "left_anti")
-    links = candidate_links(distinct, text_bytes(docs))
-    own = copies.select(F.col("_id").alias("a"), F.col("first._id").alias("b")).where("a <> b")
-    made = components(links.unionByName(own))
-    out = joined_.join(made.withColumnRenamed("id", "_id"), "_id", "left")
-    known = lambda c: F.when(c < F.lit(1 << 62), c)
-    return out.select(
-        known(F.col("_id")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        known(F.coalesce("component", "_id")).alias("component_id"),
-    )
+    known = lambda c: F.when(F.col(c) < F.lit(1 << 62), F.col(c))
+    return grouped(docs).select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that are similar to a row of a smaller id; of repeated rows one stays."""
+    groups = settle(grouped(docs))
+    ids, texts_ = free_name(docs, "_id"), free_name(docs, "_hash")
+    kept = groups.where("_id = component").groupBy("_id").agg(F.min("_hash").alias("_hash"), F.count("*").alias("rows"))
+    kept = settle(kept)
+    stays = kept.select("_id", "_hash", F.lit(True).alias("stays"))
+    gone = groups.join(stays, ["_id", "_hash"], "left").where("stays is null").select("_id", "_hash").distinct()
+    named_ = docs.select("*", *(c.alias(n) for c, n in zip(row_names(), (ids, texts_))))
+    rename = lambda d: d.select(F.col("_id").alias(ids), F.col("_hash").alias(texts_))
+    left = restricted(named_, rename(gone), [ids, texts_], "left_anti")
+    repeated = rename(kept.where("rows > 1"))
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = restricted(left, repeated, [ids, texts_], "left_anti")
+    twice = restricted(left, repeated, [ids, texts_], "left_semi").dropDuplicates([ids, texts_])
+    return once.unionByName(twice.select(*once.columns)).select(*docs.columns)
