@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import gc
 import math
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefork.session import durable
 
+#: Spark's cleaner works in the background; it gets so long after a collection.
+PAUSE_S = 0.3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written once in the shared folder; the shuffle files behind it may then go.
+def settle(build: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """A DataFrame, or what ``build`` returns, written once in the shared folder; the shuffle files behind it may go.
 
-    Spark drops shuffle files when their plan is collected on the driver, so the collection is asked for.
+    Spark drops shuffle files when the driver collects the plan that made them, so nothing may hold that plan (hence
+    ``build``) and the collection is asked for.
     """
-    kept = durable(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if callable(build):
+        kept = durable(build())
+    else:
+        kept = durable(build)
+        del build
+    for _ in range(2):  # what the first collection lets go of, the second one finds
+        gc.collect()
+        kept.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(PAUSE_S)
     return kept
 
 
