@@ -61,6 +61,8 @@ def test_salted_join_equals_plain_join(spark, how):
 class Unnamed:
     """A session without ``spark.checkpoint.dir``; its context may or may not name a folder."""
 
+    master = "local[2]"
+
     def __init__(self, folder=None):
         self.folder, self.conf, self.sparkContext = folder, self, self
 
@@ -82,6 +84,10 @@ def test_shared_folder_follows_the_session(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     fresh = Unnamed()
     assert shared_dir(fresh).startswith(str(tmp_path)) and shared_dir(fresh) == fresh.folder
+    fresh = Unnamed()
+    fresh.master = "spark://one:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(fresh)
     assert fresh_path(spark, "x").startswith(shared_dir(spark)) and fresh_path(spark, "x") != fresh_path(spark, "x")
     assert durable(spark.range(5)).count() == 5
 

@@ -77,7 +77,7 @@ def topk_of(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top-k log-probabilities of both models by absolute position; the taken token is always present."""
 
     def entries(model: str, z: str) -> Column:
-        ranked = A.top_entries(A.log_softmax(F.col(z)), 1_000_000)
+        ranked = A.top_entries(A.log_softmax(F.col(z)), None)
         return F.transform(
             ranked,
             lambda e, i: F.struct(
@@ -390,7 +390,6 @@ SWEEP = [
 
 # ---- problems and rollouts, from benchmark and documents ----
 
-PROBLEM_COUNT = 40
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:

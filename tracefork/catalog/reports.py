@@ -84,7 +84,7 @@ def j1(spark, sf):
 
 @query("j2_route", I.with_sql(*I.PROFILES, f"zc AS ({z_sql('pf')})", f"SELECT cell, problem_id, {op_sql(False)} FROM zc"))
 def j2(spark, sf):
-    return rt.route(I.profiles(spark, sf), rt.RoutingPolicy(fallback=None)).select("cell", "problem_id", "operator")
+    return rt.route(I.profiles(spark, sf), rt.ARGMAX).select("cell", "problem_id", "operator")
 
 
 @query("j3_route_fallback", I.with_sql(*I.PROFILES, f"zc AS ({z_sql('pf', 'cell')})", f"SELECT cell, problem_id, {op_sql()} FROM zc"))
@@ -102,7 +102,7 @@ def j3(spark, sf):
     ),
 )
 def j4(spark, sf):
-    policy = rt.RoutingPolicy({"concentration": "pinpoint", "spread": "broad"}, fallback="hold", fallback_below=-0.25)
+    policy = rt.Rules(("concentration", "pinpoint"), ("spread", "broad"), hedge=rt.Hedge("hold", -0.25))
     return rt.route(I.profiles(spark, sf), policy).select("cell", "problem_id", "operator")
 
 

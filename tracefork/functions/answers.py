@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracefork.functions.arrays import let
+
 # Fixed patterns (the answer conventions the checks are defined by).
 BOXED_PATTERN = r"\\boxed\{([^}]*)\}"
 NUMBER_PATTERN = r"-?\d[\d,]*\.?\d*"
@@ -26,25 +29,29 @@ def exact_match(text: Column, gold: Column) -> Column:
 
 
 def _last_number(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0))
-    return F.when(F.size(found) > 0, F.replace(F.element_at(found, -1), F.lit(","), F.lit("")))
+    return let(
+        F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, F.replace(F.element_at(found, -1), F.lit(","), F.lit(""))),
+    )
 
 
 def extract_number(text: Column) -> Column:
     """Last number of the last box if it holds one, else the last number of the text."""
-    boxes = F.regexp_extract_all(text, F.lit(BOXED_PATTERN), F.lit(1))
-    boxed = F.when(F.size(boxes) > 0, _last_number(F.element_at(boxes, -1)))
+    boxed = let(
+        F.regexp_extract_all(text, F.lit(BOXED_PATTERN), F.lit(1)),
+        lambda boxes: F.when(F.size(boxes) > 0, _last_number(F.element_at(boxes, -1))),
+    )
     return F.coalesce(boxed, _last_number(text))
 
 
 def numeric_answer(text: Column, gold: Column) -> Column:
-    pred = extract_number(text)
-    want = F.coalesce(extract_number(gold), strip(gold))
-    pred_num, want_num = pred.try_cast("double"), want.try_cast("double")
-    same = F.when(
-        pred_num.isNotNull() & want_num.isNotNull(), F.abs(pred_num - want_num) < 1e-6
-    ).otherwise(pred == want)
-    return F.coalesce(same, F.lit(False))
+    def same(pred: Column, want: Column) -> Column:
+        a, b = pred.try_cast("double"), want.try_cast("double")
+        return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) < 1e-6).otherwise(pred == want)
+
+    wanted = F.coalesce(extract_number(gold), strip(gold))
+    found = let(extract_number(text), lambda pred: let(wanted, lambda want: same(pred, want)))
+    return F.coalesce(found, F.lit(False))
 
 
 def regex(pattern: str) -> CorrectnessColumn:
@@ -59,6 +66,19 @@ def regex(pattern: str) -> CorrectnessColumn:
     return check
 
 
+def python_problem_check(fn: Callable[[dict, str], bool]) -> CorrectnessColumn:
+    """Wrap a Python ``fn(problem, text) -> bool`` that sees all columns of the problem, not its answer alone."""
+
+    def run(text: pd.Series, problem: pd.Series) -> pd.Series:
+        return pd.Series([bool(fn(json.loads(p) if p else {}, t or "")) for t, p in zip(text, problem)])
+
+    def check(text: Column, problem: Column) -> Column:
+        return F.pandas_udf(run, "boolean")(text, problem)
+
+    check.whole_problem = True
+    return check
+
+
 def python_check(fn: Callable[[dict, str], bool], answer_key: str = "answer") -> CorrectnessColumn:
     """Wrap a Python ``fn(problem, text) -> bool`` for checks that no column expression can state."""
 

@@ -74,8 +74,8 @@ def resize(values: Column, like: Column, fill: float = NEG_INF) -> Column:
     )
 
 
-def top_entries(score: Column, k: int, *payload: Column) -> Column:
-    """The ``k`` entries with the largest score, ties by smaller index.
+def top_entries(score: Column, k: int | None, *payload: Column) -> Column:
+    """The ``k`` entries with the largest score (all for None), ties by smaller index.
 
     Returns an array of structs ``(score, neg_index, p0, p1, ...)``; payload arrays are read at the
     same index.
@@ -96,7 +96,8 @@ def top_entries(score: Column, k: int, *payload: Column) -> Column:
             return entry(values, bound)
         return let(rest[0], lambda a: bind(values, rest[1:], [*bound, a]))
 
-    return F.slice(F.sort_array(let(score, lambda s: bind(s, list(payload), [])), asc=False), 1, k)
+    ranked = F.sort_array(let(score, lambda s: bind(s, list(payload), [])), asc=False)
+    return ranked if k is None else F.slice(ranked, 1, k)
 
 
 def trailing_sums(values: Column, w: int) -> Column:

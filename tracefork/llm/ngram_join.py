@@ -9,7 +9,8 @@ as many segments each with its one-deletion neighbourhood. A set with too few no
 
 Sets that share a segment are candidates. How many of a candidate's shingles any other candidate has bounds its
 similarity to all of them, so most fall away before a pair is compared. What is left is compared exactly: first with
-the set that shares most segments, then, across the groups that this has made, all pairs that the bounds still allow.
+the set that shares most segments, then, across the groups that this has made, block by block, where counts of common
+shingles are products of 0-1 matrices.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tracefork.llm.blocks import by_bucket, joined, pack_ids, runs_of, unpack_ids
 from tracefork.llm.components import components
@@ -39,6 +40,10 @@ NUM, DEN = 80, 100
 BAND = 1.6
 #: Bytes of text in one slice, and for one bucket of segments or shingles.
 SLICE, BUCKET = 4_000_000, 8_000_000
+#: Sets that one task compares with a hub, sets of one block, and columns of the matrices of common shingles.
+HUB_SETS, BLOCK_SETS, COLUMNS = 1_000, 700, 4_096
+#: Rows of a few numbers that may be shared with all tasks at once.
+SHARED_ROWS = 1_000_000
 #: What the allocation assumes: the share of shingles that some other text has, and a false candidate's cost in keys.
 SHARED, CANDIDATE = 0.2, 4.0
 
@@ -298,30 +303,96 @@ def close(n: Column, m: Column, o: Column) -> Column:
     return o * (DEN + NUM) >= (n + m) * NUM
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of two sets."""
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) that are alike enough."""
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("linked", BooleanType())])
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(verify, schema).where("linked").select("a", "b")
+def alike(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return common * (DEN + NUM) >= (n + m) * NUM
+
+
+LINKS = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+
+def compare_with_hub(key: tuple, table: pa.Table) -> pa.Table:
+    """Links of a hub with some of the sets that were told to try it, by exact comparison."""
+    hub, ids = key[0].as_py(), table.column("id").to_numpy()
+    sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+    centre = next(s for s, i in zip(sets, ids) if i == hub)
+    linked = []
+    for own, i in zip(sets, ids.tolist()):
+        at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+        if i != hub and alike((centre[at] == own).sum(), np.int64(len(own)), np.int64(len(centre))):
+            linked.append(i)
+    return pa.table({"a": pa.array(linked, pa.int64()), "b": pa.array([hub] * len(linked), pa.int64())})
+
+
+def hub_links(best: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the pairs (``a``, ``b``), b the hub; the sets of a hub with many are dealt to several tasks, each of
+    which also gets the hub's own."""
+    many = F.ceil(F.count("*") / HUB_SETS).cast("int")
+    hubs = best.groupBy("b").agg(many.alias("salts")).select(F.col("b").alias("hub"), "salts")
+    told = best.join(small_side(hubs, SHARED_ROWS), best.b == F.col("hub"))
+    tries = told.select(F.col("a").alias("id"), "hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    own = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = sets.join(small_side(tries.unionByName(own), SHARED_ROWS), "id")
+    return rows.groupBy("hub", "salt").applyInArrow(compare_with_hub, LINKS)
+
+
+def compare_blocks(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between two blocks of one cluster (or inside one block), as many as join the same components."""
+    i, j = key[1].as_py(), key[2].as_py()
+    ids, comp, block = (table.column(c).to_numpy() for c in ("id", "c", "block"))
+    sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, code, often = np.unique(joined(sets, "u8"), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(sets)), n)
+    keep = often[code] > 1
+    of, code = of[keep], (np.cumsum(often > 1) - 1)[code[keep]]
+    order = np.argsort(code, kind="stable")
+    of, code = of[order], code[order]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    place = np.zeros(len(sets), np.int64)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        own = slice(*np.searchsorted(code, (at, at + COLUMNS)))
+        sides = []
+        for rows in (left, right):
+            place[:], place[rows] = -1, np.arange(len(rows))
+            matrix = np.zeros((len(rows), COLUMNS), np.float32)
+            row = place[of[own]]
+            matrix[row[row >= 0], (code[own] - at)[row >= 0]] = 1.0
+            sides.append(matrix)
+        common += sides[0] @ sides[1].T
+    found = alike(common, n[left][:, None], n[right][None, :]) & (comp[left][:, None] != comp[right][None, :])
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for x, y in zip(*(side[at].tolist() for side, at in zip((left, right), np.nonzero(found)))):
+        a, b = top(comp[x]), top(comp[y])
+        if a != b:
+            root[a] = b
+            links.append((ids[x], ids[y]))
+    return pa.table({name: pa.array([link[at] for link in links], pa.int64()) for at, name in enumerate("ab")})
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components among the members (``id``, ``c``) of each ``cluster``. A cluster is cut into blocks and
+    every pair of blocks is one task, so no task grows with the cluster."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("id", "c", "cluster", "block", other).select(
+        "id", "c", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    rows = sets.join(small_side(pairs, SHARED_ROWS), "id")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare_blocks, LINKS)
 
 
 def restricted(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """A semi or anti join; the ids are shared with all tasks only after a count."""
-    return df.join(small_side(ids), on, how)
+    return df.join(small_side(ids, SHARED_ROWS), on, how)
 
 
 def candidate_links(rows: DataFrame, total: int) -> DataFrame:
@@ -329,53 +400,60 @@ def candidate_links(rows: DataFrame, total: int) -> DataFrame:
     all links do."""
     buckets, single = parts_for(total, BUCKET), frozenset()
     while True:
-        scanned = rows.mapInArrow(index(buckets, single), KEYED)
-        shared = settle(scanned.groupBy("bucket").applyInArrow(shared_keys, SHARED_KEYS))
+        shared = settle(
+            lambda single=single: rows.mapInArrow(index(buckets, single), KEYED).groupBy("bucket").applyInArrow(shared_keys, SHARED_KEYS)
+        )
         thin = {-1 - r.n for r in shared.where("n < 0").select("n").distinct().collect()}  # numbers of bands
         if not thin:
             break
         single |= thin
     active = shared.select(F.col("id").alias("_id")).distinct()
-    sets = settle(restricted(rows, active, ["_id"], "left_semi").mapInArrow(token_sets, SETS))
-    counted = sets.mapInArrow(token_rows(buckets), KEYED).groupBy("bucket").applyInArrow(shared_counts, COUNTS)
+    sets = settle(lambda: restricted(rows, active, ["_id"], "left_semi").mapInArrow(token_sets, SETS))
     size = sets.groupBy("id").agg((F.max(F.length("tokens")) / 8).cast("bigint").alias("m"))
-    hopeful = settle(
-        counted.groupBy("id").agg(F.sum("o").alias("o")).join(size, "id").where(F.col("o") * DEN >= F.col("m") * NUM).select("id", "o")
-    )
-    groups = settle(shared.join(small_side(hopeful), "id").distinct())
-    hubs = groups.groupBy("key").agg(F.min_by(F.struct("id", "n", "o"), F.struct(-F.col("o"), "id")).alias("hub"))
-    tied = groups.join(hubs, "key").where(F.col("id") != F.col("hub.id"))
-    able = close(F.col("n"), F.col("hub.n"), F.least("o", "hub.o", "n", "hub.n"))
-    best = (
-        tied.where(able)
-        .groupBy("id", "hub.id")
-        .agg(F.count("*").alias("keys"))
-        .toDF("a", "b", "keys")
-        .groupBy("a")
-        .agg(F.max_by("b", F.struct("keys", -F.col("b"))).alias("b"))
-    )
-    links = settle(compared(best, sets))
-    made = settle(components(links))
-    of = groups.join(made, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    several = of.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_groups = settle(of.join(several, "key", "left_semi"))
-    x, y = open_groups.alias("x"), open_groups.alias("y")
-    rest = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where((F.col("x.c") < F.col("y.c")) & close(F.col("x.n"), F.col("y.n"), F.least("x.o", "y.o", "x.n", "y.n")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-    )
-    return links.unionByName(settle(compared(rest, sets)))
+
+    def hopes() -> DataFrame:
+        counted = sets.mapInArrow(token_rows(buckets), KEYED).groupBy("bucket").applyInArrow(shared_counts, COUNTS)
+        common = counted.groupBy("id").agg(F.sum("o").alias("o")).join(size, "id")
+        return common.where(F.col("o") * DEN >= F.col("m") * NUM).select("id", "o")
+
+    hopeful = settle(hopes)
+    groups = settle(lambda: shared.join(small_side(hopeful, SHARED_ROWS), "id").distinct())
+
+    def best() -> DataFrame:
+        hubs = groups.groupBy("key").agg(F.min_by(F.struct("id", "n", "o"), F.struct(-F.col("o"), "id")).alias("hub"))
+        tied = groups.join(hubs, "key").where(F.col("id") != F.col("hub.id"))
+        able = close(F.col("n"), F.col("hub.n"), F.least("o", "hub.o", "n", "hub.n"))
+        shares = tied.where(able).groupBy("id", "hub.id").agg(F.count("*").alias("keys")).toDF("a", "b", "keys")
+        return shares.groupBy("a").agg(F.max_by("b", F.struct("keys", -F.col("b"))).alias("b"))
+
+    tries = settle(best)
+    links = settle(lambda: hub_links(tries, sets))
+    made = components(links)
+
+    def unresolved() -> DataFrame:
+        of = groups.join(made, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        low = of.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
+        return of.join(low, "key").select("id", "c", "low").distinct()
+
+    members = settle(unresolved)
+    if members.isEmpty():
+        return links
+    clusters = components(members.select(F.col("c").alias("a"), F.col("low").alias("b")))
+    own = members.select("id", "c").distinct().join(clusters.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "c")
+    return links.unionByName(settle(lambda: block_links(own, sets)))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(``_id``, ``_hash``, ``n``, ``component``) of every row, by the names that ``named`` gives."""
     rows = named(docs)
-    members = settle(rows.mapInArrow(measure, MEMBERS))
+    members = settle(lambda: rows.mapInArrow(measure, MEMBERS))
     same = ["n", "high", "low"]
-    first = members.where("n > 0").groupBy(*same).agg(F.min(F.struct("_id", "_hash")).alias("first"))
-    known = settle(members.join(first, same, "left"))
+    first = members.where("n > 0").groupBy(*same).agg(F.min(F.struct("_id", "_hash")).alias("first"), F.count("*").alias("rows"))
+    several = first.where("rows > 1").drop("rows")  # sets that stand alone are their own first ones
+    itself = F.when(F.col("n") > 0, F.struct("_id", "_hash"))
+    known = settle(
+        lambda: members.join(small_side(several, SHARED_ROWS), same, "left").withColumn("first", F.coalesce("first", itself))
+    )
     copies = known.where("first is not null and (_id, _hash) <> (first._id, first._hash)")
     wordless = known.where("first is null")
     skipped = copies.select("_id", "_hash").unionByName(wordless.select("_id", "_hash")).distinct()

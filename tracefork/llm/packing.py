@@ -31,7 +31,7 @@ END_OF_TEXT = "<|endoftext|>"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of one length that one task numbers.
-NUMBERED = 100_000
+NUMBERED = 2_000
 
 
 def vocabulary_path() -> str:

@@ -19,6 +19,7 @@ PROB_MIX_FLOOR = 1e-12
 SIGMOID_CLAMP = 4.6
 STEER_ALPHA = 0.7
 GREEDY_TEMPERATURE = 1e-5
+MIXES = ("logit_mix", "prob_mix", "adaptive_logit_mix", "adaptive_prob_mix")
 
 
 def aligned(z_s: Column, z_a: Column) -> Column:
@@ -127,7 +128,8 @@ def mixing_diagnostics(pairs: DataFrame, alpha: Column, keys: Sequence[str] = ()
 def cross_vocabulary(z_s: Column, z_a: Column, vocab_map: Column, ancestor_weight: float) -> Column:
     """Inject ancestor logits through a specialist-to-ancestor id map (-1 = unmapped).
 
-    Weight 1 or more replaces (unmapped become -inf); below 1 blends and leaves unmapped ids alone.
+    Weight 1 or more replaces (unmapped become -inf); below 1 blends and leaves unmapped ids alone. Without ancestor
+    logits or a map the specialist's logits stand.
     """
     def mapped(ids: Column, anc: Column) -> Column:
         return F.transform(
@@ -138,13 +140,15 @@ def cross_vocabulary(z_s: Column, z_a: Column, vocab_map: Column, ancestor_weigh
     w = float(ancestor_weight)
     looked_up = A.let(z_a, lambda anc: mapped(vocab_map, anc))
     if w >= 1.0:
-        return F.zip_with(looked_up, vocab_map, lambda v, m: F.when(m == -1, F.lit(A.NEG_INF)).otherwise(v))
+        replaced = F.zip_with(looked_up, vocab_map, lambda v, m: F.when(m == -1, F.lit(A.NEG_INF)).otherwise(v))
+        return F.coalesce(replaced, z_s)
     both = F.zip_with(z_s, looked_up, lambda s, v: F.struct(s.alias("s"), v.alias("v")))
-    return F.zip_with(
+    blended = F.zip_with(
         both,
         vocab_map,
         lambda e, m: F.when(m == -1, e["s"]).otherwise(F.lit(1.0 - w) * e["s"] + F.lit(w) * e["v"]),
     )
+    return F.coalesce(F.when(z_a.isNotNull(), blended), z_s)
 
 
 def proxy_tune(target: Column, expert: Column, base: Column, alpha: float = 1.0) -> Column:
@@ -223,6 +227,7 @@ def inject(
     width: int = 1,
     alpha: float = 0.9,
     temperature: float = 1.0,
+    adaptive_temperature: float = 1.0,
     sampling: bool = False,
     min_p_value: float = 0.0,
     top_p_value: float = 1.0,
@@ -245,13 +250,16 @@ def inject(
     modes = {
         "logit_mix": lambda: logit_mix(z_s, z_a, F.lit(float(alpha))),
         "prob_mix": lambda: prob_mix(z_s, z_a, F.lit(float(alpha)), additive=True),
-        "adaptive_logit_mix": lambda: adaptive_logit_mix(z_s, z_a),
-        "adaptive_prob_mix": lambda: adaptive_prob_mix(z_s, z_a),
+        "adaptive_logit_mix": lambda: adaptive_logit_mix(z_s, z_a, adaptive_temperature),
+        "adaptive_prob_mix": lambda: adaptive_prob_mix(z_s, z_a, adaptive_temperature),
         "min_p": lambda: min_p(z_s, min_p_value),
         "top_p": lambda: top_p(z_s, top_p_value),
         "reppen": lambda: repetition_penalty(z_s, F.col("seen"), penalty),
     }
+    chosen = modes[mode]()
+    if mode in MIXES:  # without ancestor logits the specialist's stand
+        chosen = F.when(F.col("z_a").isNotNull(), chosen)
     outside = F.col("z_s") if sampling else F.transform("z_s", lambda x: x * F.lit(100.0))
     return rows.withColumn("in_window", inside).withColumn(
-        "z_out", F.when(F.col("in_window"), modes[mode]()).otherwise(outside)
+        "z_out", F.when(F.col("in_window"), F.coalesce(chosen, z_s)).otherwise(outside)
     )

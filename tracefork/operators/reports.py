@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracefork.operators.routing import RoutingPolicy, route
+from tracefork.operators.routing import STANDARD, Rules, route
 from tracefork.schemas import INTERVENTIONS
 
 # An intervention must beat resampling by this margin, on a problem at least this hard.
@@ -32,6 +32,9 @@ def classify(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("label", label)
 
 
+LISTED_CELLS = 2_000
+
+
 def list_cells(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell")
 
@@ -42,8 +45,11 @@ def select_cell(profiles: DataFrame, cell: str | None) -> DataFrame:
         return profiles
     chosen = profiles.where(F.col("cell") == cell)
     if chosen.isEmpty():
-        names = [r.cell for r in list_cells(profiles).limit(200).collect()]
-        raise ValueError(f"no rows for cell {cell!r}; available: {names}")
+        known = profiles.agg(F.count_distinct("cell").alias("n")).first()
+        named = "see list_cells"
+        if known.n <= LISTED_CELLS:  # a message has to stay readable; beyond that none is named rather than some
+            named = str([r.cell for r in list_cells(profiles).collect()])
+        raise ValueError(f"no rows for cell {cell!r}; available: {known.n} cells, {named}")
     return chosen
 
 
@@ -64,23 +70,21 @@ def steerable(profiles: DataFrame) -> DataFrame:
 
 
 def routed_steerable(
-    profiles: DataFrame, by: Sequence[str] = (), policy: RoutingPolicy | None = None
+    profiles: DataFrame, by: Sequence[str] = (), rules: Rules = STANDARD
 ) -> DataFrame:
     """Route the steerable subset, scaled within that subset; add the rate under the routed operator."""
-    routed = route(steerable(profiles), policy, by)
+    routed = route(steerable(profiles), rules, by)
     names = sorted(set(INTERVENTIONS))
     rates = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))])
     return routed.withColumn("routed_rate", F.element_at(rates, F.col("operator")))
 
 
-def signature(routed: DataFrame, by: Sequence[str] = (), policy: RoutingPolicy | None = None) -> DataFrame:
-    """Per routed operator: size and mean z of each feature, in policy order; empty operators absent."""
-    policy = policy or RoutingPolicy()
-    order = [*policy.operators, *([policy.fallback] if policy.fallback else [])]
-    place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("operator"))
+def signature(routed: DataFrame, by: Sequence[str] = (), rules: Rules = STANDARD) -> DataFrame:
+    """Per routed operator: size and mean z of each feature, in the order of the rules; empty operators absent."""
+    place = F.array_position(F.array(*[F.lit(o) for o in rules.operators()]), F.col("operator"))
     return (
         routed.groupBy(*by, "operator")
-        .agg(F.count("*").alias("n"), *[F.avg(f"z_{f}").alias(f"mean_z_{f}") for f in policy.features])
+        .agg(F.count("*").alias("n"), *[F.avg(f"z_{f}").alias(f"mean_z_{f}") for f in rules.features()])
         .withColumn("place", place.cast("bigint"))
     )
 

@@ -17,6 +17,14 @@ def _present(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names if n in df.columns]
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key. Of repeated keys the largest row stays: tables have no last row, and this choice is the same in
+    every run."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.max(F.struct(*rest)).alias("_best")
+    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best").getField(c).alias(c) for c in rest])
+
+
 def mark_correct(rollouts: DataFrame, problems: DataFrame, check: CorrectnessColumn | None) -> DataFrame:
     """Add ``ok``: an explicit non-null flag wins, then the check, else not correct.
 
@@ -25,7 +33,9 @@ def mark_correct(rollouts: DataFrame, problems: DataFrame, check: CorrectnessCol
     """
     if check is None:
         return rollouts.withColumn("ok", F.coalesce("is_correct", F.lit(False)))
-    gold = problems.select("problem_id", F.col("answer").alias("gold"))
+    whole = getattr(check, "whole_problem", False)  # such a check reads the problem as JSON
+    gold = F.to_json(F.struct(*problems.columns)) if whole else F.col("answer")
+    gold = one_per_key(problems.select("problem_id", gold.alias("gold")), ["problem_id"])
     return (
         salted_join(rollouts, gold, ["problem_id"], ["rollout_idx"], "left")
         .withColumn(
@@ -43,9 +53,9 @@ def failures(rollouts: DataFrame, problems: DataFrame, check: CorrectnessColumn
 
 
 def normalise_keys(rollouts: DataFrame) -> DataFrame:
-    """Extraction keys: first non-empty id alias, first index alias, text or answer."""
-    ids = [F.nullif(c.cast("string"), F.lit("")) for c in _present(rollouts, ["pid", "problem_id", "id"])]
-    idx = _present(rollouts, ["rollout_id", "rollout_idx", "sample_id"])
+    """Extraction keys: first non-empty id alias, first index alias, text or answer, in the order of the loader."""
+    ids = [F.nullif(c.cast("string"), F.lit("")) for c in _present(rollouts, ["problem_id", "pid", "id"])]
+    idx = _present(rollouts, ["rollout_idx", "rollout_id", "sample_id"])
     text = _present(rollouts, ["generated_text", "answer"])
     return rollouts.select(
         F.coalesce(*ids, F.lit("")).alias("pid"),
@@ -75,7 +85,8 @@ def not_cached(rollouts: DataFrame, done: DataFrame, force: bool = False) -> Dat
 
 def build_sequences(rollouts: DataFrame, prompts: DataFrame) -> DataFrame:
     """``full_ids`` = prompt then output, with ``prompt_len``."""
-    return salted_join(rollouts, prompts.select("pid", "prompt_ids"), ["pid"], ["rollout_idx"]).select(
+    one = one_per_key(prompts.select("pid", "prompt_ids"), ["pid"])
+    return salted_join(rollouts, one, ["pid"], ["rollout_idx"]).select(
         *TRACE,
         "output_ids",
         F.size("prompt_ids").cast("bigint").alias("prompt_len"),

@@ -17,7 +17,6 @@ from tracefork.schemas import CACHE_ARRAYS, TRACE
 
 # Fixed values of the feature definitions.
 LOG_FLOOR = -1000.0
-TINY = 1e-300
 MASS_EPS = 1e-8
 TEMPERATURE = 0.6
 COVERAGE_K = 20
@@ -69,7 +68,11 @@ def features_of_pairs(pairs: DataFrame, temperature: float = TEMPERATURE, k_cov:
     """All per-token features at decode temperature; one row per generated position."""
     T = F.lit(float(temperature))
     l_s, l_a, floor = F.col("l_s"), F.col("l_a"), F.lit(LOG_FLOOR)
-    w_s, w_a = F.exp(l_s / T), F.exp(l_a / T)
+    # Weights are relative to the position's largest log-probability, so a sum is never 0 however low T is.
+    place = W.partitionBy(*PLACE)
+    pairs = pairs.withColumns({"top_s": F.max("l_s").over(place), "top_a": F.max("l_a").over(place)})
+    top_s, top_a = F.col("top_s"), F.col("top_a")
+    w_s, w_a = F.exp((l_s - top_s) / T), F.exp((l_a - top_a) / T)
     in_set = F.col("rank_a") <= k_cov
     is_taken = F.col("t").isNotNull()
     s = (
@@ -89,7 +92,9 @@ def features_of_pairs(pairs: DataFrame, temperature: float = TEMPERATURE, k_cov:
             F.sum(w_s * l_s * l_s * l_s * l_s).alias("r4"),
             F.sum(w_s * F.coalesce(l_a, floor)).alias("cross"),
             F.sum(F.when(in_set, w_a)).alias("set_a"),
-            F.sum(F.when(in_set, F.exp(F.coalesce(l_s, floor) / T))).alias("set_s"),
+            F.sum(F.when(in_set, F.exp((F.coalesce(l_s, floor) - top_s) / T))).alias("set_s"),
+            F.max("top_s").alias("top_s"),
+            F.max("top_a").alias("top_a"),
         )
         .where(F.col("t").isNotNull() & (F.col("k_s") > 0) & (F.col("k_a") > 0))
     )
@@ -98,8 +103,8 @@ def features_of_pairs(pairs: DataFrame, temperature: float = TEMPERATURE, k_cov:
         "pos",
         "t",
         "x_t",
-        F.log(F.col("z_s") + F.lit(TINY)).alias("lse_s"),
-        F.log(F.col("z_a") + F.lit(TINY)).alias("lse_a"),
+        (F.log("z_s") + top_s / T).alias("lse_s"),
+        (F.log("z_a") + top_a / T).alias("lse_a"),
         "taken_s",
         "taken_a",
         (F.col("r1") / F.col("z_s")).alias("m1"),
@@ -151,7 +156,8 @@ def token_features(
 
 def renormalised(pairs: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """The specialist's renormalised top-K probabilities, one row per (position, token)."""
-    p = F.exp(F.col("l_s") / F.lit(float(temperature)))
+    top = F.max("l_s").over(W.partitionBy(*PLACE))
+    p = F.exp((F.col("l_s") - top) / F.lit(float(temperature)))
     total = F.sum(p).over(W.partitionBy(*PLACE))
     return pairs.where(F.col("l_s").isNotNull()).select(*PLACE, "token", (p / total).alias("p"))
 

@@ -52,7 +52,7 @@ def select_sequences(
     return sequences
 
 
-def cache_features(sequences: DataFrame, topk: DataFrame, config: TraceConfig, batch: int = 0) -> None:
+def cache_features(sequences: DataFrame, topk: DataFrame, config: TraceConfig, batch: int | None = None) -> None:
     """Stage 1: per-token features of the selected rollouts, appended to the cache."""
     features = token_features(topk, sel.taken_tokens(sequences), config.temperature, config.k_cov, config.ranks)
     fc.append_features(assemble_traces(features), config.cache_path, config.task, config.model_tag, batch)

@@ -13,7 +13,6 @@ from tracefork.session import durable
 
 BINS = 4096
 MAX_RANKED = 1_000_000
-MAX_LEVELS = 4
 
 
 def _bin(lo: str, hi: str, bins: int) -> Column:
@@ -61,9 +60,13 @@ def exact_quantile(
         )
     )
     remaining = counts
-    for _ in range(MAX_LEVELS):
-        if bounds.where(F.col("left") > max_ranked).isEmpty():
+    most = None
+    while True:
+        wide = bounds.where((F.col("left") > max_ranked) & (F.col("lo") < F.col("hi")))
+        left = wide.agg(F.sum("left")).head()[0]
+        if left is None or left == most:  # narrow enough, or two far-off clusters that bins no longer take apart
             break
+        most = left
         remaining, bounds = _narrow(remaining, bounds, keys, bins)
     upto = W.partitionBy(*keys).orderBy("value")
     ranked = salted_join(

@@ -29,10 +29,12 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tra
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context names one (tests on one machine) a local folder is made.
+    Only where neither the session nor its context names one, and Spark runs on this machine alone, a local folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracefork-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

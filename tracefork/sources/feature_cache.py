@@ -24,9 +24,14 @@ def with_cell(traces: DataFrame, task: str, model_tag: str) -> DataFrame:
 
 
 def append_features(
-    traces: DataFrame, path: str, task: str, model_tag: str, batch: int = 0, rows_per_file: int = ROWS_PER_FILE
+    traces: DataFrame, path: str, task: str, model_tag: str, batch: int | None = None, rows_per_file: int = ROWS_PER_FILE
 ) -> None:
-    """Append a batch in problem order; ``shard`` tells batches apart for later lookups."""
+    """Append a batch in problem order; ``shard`` tells batches apart for later lookups, and the last one wins.
+
+    Without a number the batch comes after all that the cell holds.
+    """
+    if batch is None:
+        batch = next_shard(traces.sparkSession, path, task, model_tag)
     (
         with_cell(traces, task, model_tag)
         .withColumn("shard", F.lit(batch).cast("bigint"))
@@ -39,6 +44,15 @@ def append_features(
     )
 
 
+def next_shard(spark: SparkSession, path: str, task: str, model_tag: str) -> int:
+    """One more than the largest shard of the cell; 0 for a new cache."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return 0
+    last = scan_cell(spark, path, task, model_tag).agg(F.max("shard")).head()[0]
+    return 0 if last is None else last + 1
+
+
 def scan_cell(spark: SparkSession, path: str, task: str, model_tag: str) -> DataFrame:
     """All cached rollouts of a cell (partition pruned)."""
     return (

@@ -68,8 +68,30 @@ def normalise_rollouts(raw: DataFrame, line_number: Column | None = None) -> Dat
     )
 
 
+def parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The listed keys of each line as columns, and all others in ``extra``, a map of their JSON texts.
+
+    Flags are read as written, so that 0 and 1 serve as well as false and true. Bad JSON fails the read.
+    """
+    loose = T.StructType([T.StructField(f.name, T.StringType() if f.dataType == T.BooleanType() else f.dataType) for f in schema])
+    options = {"mode": "FAILFAST"}
+    names = [F.lit(f.name) for f in schema]
+    whole = lines.withColumn("_r", F.from_json("value", loose, options))
+    others = F.map_filter(F.from_json("value", "map<string,string>", options), lambda k, _: ~F.array_contains(F.array(*names), k))
+    return whole.select(*[_typed(f) for f in schema], others.alias("extra"), *[c for c in lines.columns if c != "value"])
+
+
+def _typed(field: T.StructField) -> Column:
+    value = F.col("_r").getField(field.name)
+    if field.dataType == T.BooleanType():
+        value = F.when(F.lower(value).isin("true", "false"), F.lower(value) == "true").otherwise(value.cast("double") != 0)
+    return value.alias(field.name)
+
+
 def load_problems(spark: SparkSession, path: str, schema: T.StructType = PROBLEM_FILE) -> DataFrame:
-    return normalise_problems(load_jsonl(spark, path, schema))
+    """Problems from JSON lines; keys that the schema doesn't list are kept in ``extra``."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return normalise_problems(parsed(lines, schema))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -97,12 +119,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_rollouts(spark: SparkSession, path: str, schema: T.StructType = ROLLOUT_FILE) -> DataFrame:
-    """Rollouts from JSON lines. Line numbers are worked out only if some row carries no index."""
-    raw = load_jsonl(spark, path, schema)
-    idx = _first(raw, ["rollout_idx", "rollout_id", "sample_id"])
-    if idx and raw.where(F.coalesce(*idx).isNull()).isEmpty():
-        return normalise_rollouts(raw)
-    parsed = numbered_lines(spark, path).select(
-        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.col("line").alias("_line")
-    )
-    return normalise_rollouts(parsed.select("r.*", "_line"), F.col("_line"))
+    """Rollouts from JSON lines; a row without an index takes its line number, other keys are kept in ``extra``."""
+    lines = numbered_lines(spark, path).withColumnRenamed("line", "_line")
+    return normalise_rollouts(parsed(lines, schema), F.col("_line"))

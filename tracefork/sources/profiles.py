@@ -9,8 +9,8 @@ from tracefork.schemas import PROFILE
 
 
 def load_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """The profile CSV by header name; an empty file is an error."""
-    df = spark.read.schema(PROFILE).option("header", True).option("enforceSchema", False).csv(path)
+    """The profile CSV by header name; an empty file or a value that is no number is an error."""
+    df = spark.read.schema(PROFILE).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")
     return df

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tracefork.operators.selection import not_cached, taken_tokens
 from tracefork.operators.token_features import COVERAGE_K, TEMPERATURE, assemble_traces, token_features
 from tracefork.schemas import TRACE
-from tracefork.sources.feature_cache import append_features, done_keys, scan_cell
+from tracefork.sources.feature_cache import append_features, done_keys, next_shard, scan_cell
 
 
 def extract_batch(
@@ -44,7 +44,9 @@ def extract_stream(
     def each(batch: DataFrame, batch_id: int) -> None:
         hadoop = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(cache_path)
         fs = hadoop.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration())
-        extract_batch(batch, topk, cache_path, task, model_tag, batch_id, first=not fs.exists(hadoop), **options)
+        # The cell's own numbers go on, also where a new checkpoint starts the batches at 0 again.
+        shard = next_shard(batch.sparkSession, cache_path, task, model_tag)
+        extract_batch(batch, topk, cache_path, task, model_tag, shard, first=not fs.exists(hadoop), **options)
 
     return (
         sequences.writeStream.foreachBatch(each)
