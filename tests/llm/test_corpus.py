@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import plain
 import pytest
+from tokenizers import Tokenizer
 
 from tracefork.llm import decontamination, packing, quality
 from tracefork.llm.queries import op9_decontamination, op10_packing
@@ -91,6 +92,17 @@ def test_odd_documents_pack(spark, monkeypatch):
     check_packing(packing.pack(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect(), list(enumerate(texts)))
 
 
+def test_long_runs_of_white_space_pack(spark, monkeypatch):
+    texts = [" " * 1_100_000, "a" + "\n" * 1_100_000 + "b", "a\t" + " " * 1_100_000 + "\n it's \u2003\x1c"]
+    check_packing(packing.pack(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect(), list(enumerate(texts)))
+    monkeypatch.setattr(packing, "LONG_RUN", 3)
+    library, encoder = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choices([" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\u3000", "a", "it's", "7", "!", "é", "日"], k=rng.randrange(25)))
+        assert encoder.ids(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
+
+
 def best_fit_decreasing(counts, capacity):
     gaps = []
     for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
