@@ -44,7 +44,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its place in a sequence."""
-    return pack(docs)
+    return pack(docs, added=True)
 
 
 STAGES = [

@@ -103,6 +103,27 @@ def test_long_runs_of_white_space_pack(spark, monkeypatch):
         assert encoder.ids(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
 
 
+def test_added_tokens_inside_texts(spark, tmp_path, monkeypatch):
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b<|endoftext", " \n<|endoftext|>\n x"]
+    texts.append(" " * 120_000 + "<|endoftext|>" + " " * 120_000 + "b")
+    wanted = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        cut = len(ids) % packing.CAPACITY or packing.CAPACITY
+        ends = [cut, *range(cut + packing.CAPACITY, len(ids) + 1, packing.CAPACITY)]
+        wanted |= {(i, k): zlib.crc32(ids[max(0, e - packing.CAPACITY) if k else 0 : e].tobytes()) for k, e in enumerate(ends)}
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in op10_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path)):
+        assert {(r.doc_id, r.piece): r.ids_crc32 for r in out.collect()} == wanted
+    monkeypatch.setattr(packing, "LONG_RUN", 3)
+    encoder, rng = packing.Encoder(packing.vocabulary_path(), added=True), random.Random(13)
+    for _ in range(3000):
+        text = "".join(rng.choices([" ", " ", "\n", "<|endoftext|>", "<|endoftext|", "\u3000", "a", "it's", "7", "!"], k=rng.randrange(25)))
+        assert encoder.ids(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
+
+
 def best_fit_decreasing(counts, capacity):
     gaps = []
     for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):

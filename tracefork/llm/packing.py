@@ -28,7 +28,6 @@ from tracefork.llm.tables import settle
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-END_OF_TEXT = "<|endoftext|>"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as PRE_TOKENS has it. In a run of about a million of it tiktoken's matcher fails, so runs from LONG_RUN
@@ -49,19 +48,24 @@ class Encoder:
     """Ids of whole texts by the byte-level vocabulary of a tokenizer file.
 
     The merges of such a file are ranked by their ids, so the ids are those of the file's own library; tiktoken is
-    what computes them, for it is several times faster on the same texts.
+    what computes them, for it is several times faster on the same texts. With ``added`` the file's added tokens are
+    recognised inside texts, as the library does unless told otherwise; without, they are text like any other (the
+    library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary, tokens = content["model"]["vocab"], {t["content"]: t["id"] for t in content["added_tokens"]}
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spelled = {chr(b): b for b in printable}  # a byte is spelled as itself, or from 256 on if it can't be printed
         spelled.update((chr(256 + i), b) for i, b in enumerate(b for b in range(256) if b not in printable))
-        ranks = {bytes(map(spelled.__getitem__, token)): i for token, i in vocabulary.items() if token != END_OF_TEXT}
-        self.encoding = tiktoken.Encoding("texts", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(map(spelled.__getitem__, token)): i for token, i in vocabulary.items() if token not in tokens}
+        self.added = tuple(tokens) if added else ()
+        special = tokens if added else {}
+        self.encoding = tiktoken.Encoding("texts", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of the text and then the end id."""
@@ -69,25 +73,28 @@ class Encoder:
 
     def coded(self, text: str) -> Iterator[np.ndarray]:
         """Ids of the parts of a text. A long run of white space is one pre-token and is coded by itself; its last
-        character, if more text follows, belongs to the next one."""
-        at = 0
+        character, if more text follows that is no added token, belongs to the next one."""
+        at, options = 0, {"allowed_special": set(self.added), "disallowed_special": ()}
         for run in WHITE.finditer(text) if len(text) >= LONG_RUN else ():
             if run.end() - run.start() >= LONG_RUN:
-                end = run.end() - (run.end() < len(text))
-                yield self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=())
+                end = run.end() - (run.end() < len(text) and not text.startswith(self.added, run.end()))
+                yield self.encoding.encode_to_numpy(text[at : run.start()], **options)
                 yield np.array(self.encoding._encode_single_piece(text[run.start() : end]), "<u4")
                 at = end
-        yield self.encoding.encode_to_numpy(text[at:], disallowed_special=())
+        yield self.encoding.encode_to_numpy(text[at:], **options)
 
 
 PIECES = [("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids_crc32", LongType())]
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False, added: bool = False
+) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, with ``keep_ids``, the ids themselves.
 
     A null text is empty and has the end id alone. A document of over ``capacity`` ids is cut into whole pieces from
-    its end, so only its first piece may be shorter. Repeated rows and null ids are documents of their own.
+    its end, so only its first piece may be shorter. Repeated rows and null ids are documents of their own. ``added``
+    is the encoder's.
     """
     file = path or vocabulary_path()
     fields = [docs.schema["doc_id"], *(StructField(n, t) for n, t in PIECES)]
@@ -96,7 +103,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     schema = StructType(fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        encoder = Encoder(file, added)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
@@ -212,12 +219,15 @@ def placer(matches: list[tuple[int, int, int, int, int]]) -> Callable[[np.ndarra
     return find
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False, added: bool = False
+) -> DataFrame:
     """Every piece of every document with ``sequence_id`` and ``offset``; offsets fill each sequence from 0 without gaps.
 
-    Empty tables give no rows. Pieces with equal columns are told apart by their number only.
+    Empty tables give no rows. Pieces with equal columns are told apart by their number only. ``added`` is the
+    encoder's.
     """
-    pieces = settle(token_pieces(docs, capacity, path, keep_ids))
+    pieces = settle(token_pieces(docs, capacity, path, keep_ids, added))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     matches = docs.sparkSession.sparkContext.broadcast(np.array(sweep_rounds(counts, capacity), np.int64).reshape(-1, 5))
     order = ["doc_id", "piece", "start", "ids_crc32"]
