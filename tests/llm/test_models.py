@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracefork.llm import html_extraction as extraction
 from tracefork.llm import toxicity
-from tracefork.llm.html_tree import read
+from tracefork.llm.html_tree import RAW, read
 from tracefork.llm.queries import op2_html_extraction, op7_toxicity
 from tracefork.llm.tables import table
 
@@ -68,6 +68,13 @@ def test_tolerant_reading():
     assert read(None).text == [None] and read("").text == [None]
 
 
+def test_raw_elements_after_letters_that_grow_in_lower_case():
+    body = "".join(f"<p>{'İ' * 60}</p><{tag}>x İ</{tag.upper()}><p>Text behind a {tag} element.</p>" for tag in sorted(RAW))
+    texts = [t for t in read(body).text if t]
+    assert texts == [x for tag in sorted(RAW) for x in ("İ" * 60, f"Text behind a {tag} element.")]
+    assert [t for t in read("<p>a</p><script>c</ſcript></script>d").text if t] == ["a", "d"]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, "u"), (2, "", "u"), (2, "", "u"), (3, "<" * 5000, "u"), (4, "<div>" * 3000 + "deep", "u"), (5, "plain text", "u")]
     pages = spark.createDataFrame(rows, "page_id bigint, html string, text string")

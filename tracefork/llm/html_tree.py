@@ -28,6 +28,8 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
+#: Searched in the page itself: a lower-cased copy may be longer (U+0130 becomes two characters).
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WHITE = re.compile(r"\s+")
 
@@ -79,7 +81,7 @@ def read(page: str | None) -> Tree:
                 links.append(piece)
 
     page = page or ""
-    at, lower = 0, page.lower()
+    at = 0
     for found in iter(lambda: TAG.search(page, at), None):
         put(page[at : found.start()])
         at = found.end()
@@ -98,9 +100,9 @@ def read(page: str | None) -> Tree:
             continue
         if tag in RAW:
             flush()
-            end = lower.find(f"</{tag}", at)
             if not attributes.endswith("/"):
-                at = len(page) if end < 0 else end
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if tag == "br":
             put(" ")
