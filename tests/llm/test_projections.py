@@ -79,6 +79,85 @@ FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT ..."""
     assert licenses.scan_licenses(plain.odd(spark)).count() == len(plain.ODD)
 
 
+CONDITIONS = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+"""
+HOPE = """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+MIT_REST = """
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT ...
+"""
+PUBLISHED = [
+    ("MIT", GRANT + MIT_REST),
+    ("MIT", GRANT),
+    ("MIT", "MIT License\n"),
+    ("GPL-3.0", GPL.format(":", ",", 3) + HOPE),
+    ("GPL-3.0", GPL.format(":", ",", 3)),
+    ("GPL-2.0", GPL.format(";", ";", 2) + HOPE),
+    ("GPL-2.0", GPL.format(";", ";", 2)),
+    ("BSD-2-Clause", CONDITIONS),
+    ("BSD-3-Clause", CONDITIONS + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""),
+    *[(f"CC-{k.upper()}-4.0", f"This work is licensed under a Creative Commons Attribution{x} 4.0\nInternational License.\n")
+      for k, x in (("by", ""), ("by-sa", "-ShareAlike"), ("by-nc", "-NonCommercial"))],
+]
+
+
+def test_published_texts_in_comments_and_with_other_line_ends(spark):
+    assert {name for name, _ in PUBLISHED} == {name for name, _ in licenses.RULES}
+    assert all(re.search(licenses.SIGNS, s) for s in licenses.sentence_ids())
+    rows = []
+    for name, text in PUBLISHED:
+        whole = f"Copyright (C) 2020 Someone\n\n{text}\nint main;\n"
+        for mark in ("", " * ", "# ", "// ", "dnl ", "REM ", ";; "):
+            marked = re.sub("(?m)^", mark, whole) if mark else whole
+            rows += [(name, x) for x in (marked, re.sub("(?m) +$", "", marked), marked.replace("\n", "\r\n"))]
+        rows.append((name, f"/*\n{re.sub('(?m)^', ' * ', whole)} */\ncode"))
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect():
+        assert r.license_scan.licenses == [r.name] and r.license_scan.license == r.name, r
+
+
 def test_url_parts_and_longest_match():
     assert host_and_path("HTTP://A.Example.ORG/En/1?x#y") == ("a.example.org", "/En/1")
     assert host_and_path(None) == host_and_path("no scheme") == ("", "")

@@ -1,7 +1,9 @@
 """License scans by sentence rules: normalised sentences become identifiers, identifier sequences match licence rules.
 
 Built-in functions only. A text is cut into sentences twice, once with line ends as borders and once without, so that
-both one-line notices and wrapped licence texts are read.
+both one-line notices and wrapped licence texts are read. Texts with a word of a known sentence are read twice more with
+carriage returns and comment marks taken off: again by the borders of wrapped texts, and with borders that leave
+sentences with colons, semicolons and "v. 2" whole, as in the headers of the GPL and the MPL.
 """
 
 from __future__ import annotations
@@ -64,6 +66,11 @@ RULES = [
 BORDERS = r"[.!?:;]+[ \t\n]+|\n+"
 NOT_ALNUM = r"[^a-z0-9]+"
 WRAPPED = r"[.!?:;]+[ \t\n]+|\n[ \t]*\n"
+HEADER = r"(?<!\b[vV])[.!?]+[ \t\n]+|\n[ \t]*\n"
+#: What stands before the words of a line; ``d``: only a line feed ends lines.
+LINE_START = r"(?md)^(?:[^A-Za-z0-9\n]+|(?:dnl|REM|rem)\b)+"
+#: Every known sentence has one of these.
+SIGNS = r"(?i)licen|permission|redistribut|software|warranty"
 
 
 def sentence_ids() -> dict[str, str]:
@@ -84,6 +91,17 @@ def known_sentences(text: Column, borders: str) -> Column:
     return let(table, lambda m: F.filter(F.transform(found, lambda s: F.try_element_at(m, s)), lambda i: i.isNotNull()))
 
 
+def unmarked(text: Column) -> Column:
+    """Line feeds as line ends, and lines without what comment marks, boxes or quoting put before their words."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), LINE_START, "")
+
+
+def matched_in_headers(text: Column) -> Column:
+    """Licences of the text without marks, in the order of the two readings and their rules."""
+    names = let(unmarked(text), lambda t: F.array_union(*(matched_rules(known_sentences(t, b)) for b in (WRAPPED, HEADER))))
+    return F.when(text.rlike(SIGNS), names).otherwise(F.array().cast("array<string>"))
+
+
 def matched_rules(ids: Column) -> Column:
     """Licences whose rules match, each once, in the order of the rules."""
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f",{',,'.join(seq)},").alias("ids")) for name, seq in RULES])
@@ -113,7 +131,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         lambda t: let(
             known_sentences(t, BORDERS),
             lambda by_line: let(
-                F.array_union(matched_rules(by_line), matched_rules(known_sentences(t, WRAPPED))),
+                F.array_union(
+                    F.array_union(matched_rules(by_line), matched_rules(known_sentences(t, WRAPPED))), matched_in_headers(t)
+                ),
                 lambda names: F.struct(
                     by_line.alias("sentences"),
                     F.array_sort(names).alias("licenses"),
@@ -126,7 +146,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The scan of ``documents`` in SQL, from the same two tables."""
+    """The scan of ``documents`` in SQL, from the same two tables: the first two readings only."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in sentence_ids().items())
     # `ids` has the sentences wrapped in commas; a rule that matched is replaced, so the next one sees the rest only.
