@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefork.llm import licenses, quality
 from tracefork.llm.decontamination import leak_digest, mark_leaks
+from tracefork.llm.fill_in_middle import FIM_SQL, fim_digest
 from tracefork.llm.html_extraction import extract_text
 from tracefork.llm.ngram_join import similar_documents
 from tracefork.llm.packing import pack
@@ -80,6 +81,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), added=True)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(table(spark, sf_dir, "documents"))
+
+
 URL_SQL = """
 WITH rules(verdict, host, path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
@@ -161,8 +166,14 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.license_sql(), "op6_url_filter": URL_SQL, "op8_quality_rules": quality_sql()}
+    return {
+        "op5_licenses": licenses.license_sql(),
+        "op6_url_filter": URL_SQL,
+        "op8_quality_rules": quality_sql(),
+        "op13_fill_in_middle": FIM_SQL,
+    }
