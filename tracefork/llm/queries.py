@@ -18,6 +18,7 @@ from tracefork.llm.suffix_dedup import remove_repeats
 from tracefork.llm.tables import table
 from tracefork.llm.toxicity import grade_toxicity, train
 from tracefork.llm.url_filter import judge_urls
+from tracefork.llm.whitening import whiten
 
 #: The rules of the url query: (verdict, host, path).
 URL_RULES = [
@@ -81,6 +82,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), added=True)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digest(table(spark, sf_dir, "documents"))
 
@@ -166,6 +171,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
@@ -175,5 +181,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_licenses": licenses.license_sql(),
         "op6_url_filter": URL_SQL,
         "op8_quality_rules": quality_sql(),
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": FIM_SQL,
     }
