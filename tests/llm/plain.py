@@ -40,8 +40,8 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """doc_id -> (shingles, component)."""
+def components(docs: list[tuple[int, str | None]], least: int = 80) -> dict[int, tuple[int, int]]:
+    """doc_id -> (shingles, component) by links of ``least`` percent."""
     sets = {i: shingles(t) for i, t in docs}
     root = {i: i for i in sets}
 
@@ -56,7 +56,7 @@ def components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]
         for s in sets[i]:
             where[s].append(i)
         for j, n in common.items():
-            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= least * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefork.llm.tables import settle
+from tracefork.session import durable
 
 MAX_ROUNDS = 60
 
@@ -27,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     Each round ties every id to the smallest of its neighbours, first among its larger and then among its smaller
     neighbours, until each is tied to the smallest of all. Links stay in tables; the driver sees two sums a round.
     """
-    edges = settle(lambda: links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = settle(lambda edges=edges: contracted(edges))
+        edges = durable(contracted(edges))
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
         if now == before:
             break

@@ -11,6 +11,7 @@ from tracefork.llm import licenses, quality
 from tracefork.llm.decontamination import leak_digest, mark_leaks
 from tracefork.llm.fill_in_middle import FIM_SQL, fim_digest
 from tracefork.llm.html_extraction import extract_text
+from tracefork.llm.minhash import near_duplicates
 from tracefork.llm.ngram_join import similar_documents
 from tracefork.llm.packing import pack
 from tracefork.llm.sharding import shard
@@ -82,6 +83,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), added=True)
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -171,6 +176,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op11_minhash_dedup": op11_minhash_dedup,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
@@ -181,6 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_licenses": licenses.license_sql(),
         "op6_url_filter": URL_SQL,
         "op8_quality_rules": quality_sql(),
+        "op11_minhash_dedup": op11_minhash_dedup,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": FIM_SQL,
     }
