@@ -155,6 +155,7 @@ MEMBERS = StructType([StructField(n, LongType()) for n in ("_id", "_hash", "n",
 KEYED = StructType([StructField("bucket", LongType()), StructField("keys", BinaryType()), StructField("ids", BinaryType()), StructField("sizes", BinaryType())])
 SHARED_KEYS = StructType([StructField("key", LongType()), StructField("id", LongType()), StructField("n", LongType())])
 COUNTS = StructType([StructField("id", LongType()), StructField("o", LongType())])
+PARTIAL = StructType([StructField("part", LongType()), StructField("ids", BinaryType()), StructField("counts", BinaryType())])
 SETS = StructType([StructField("id", LongType()), StructField("tokens", BinaryType())])
 
 
@@ -284,18 +285,31 @@ def token_rows(buckets: int):
     return scan
 
 
-def shared_counts(key: tuple, table: pa.Table) -> pa.Table:
-    """How many shingles of each id other ids have too, as far as this bucket tells."""
-    keys, ids, sizes = gathered(table)
-    if key[0].as_py() >= 0:
-        order, starts, several = shared_runs(keys, ids)
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-        lone = sizes[order] == 0
-        alone = np.ones(len(starts), bool)
-        alone[run[lone]] = False  # shared inside a slice
-        keep = order[(several | ~alone)[run] & ~lone]
-        ids, sizes = np.unique(ids[keep], return_counts=True)
-    return pa.table({"id": ids, "o": sizes.astype(np.int64)})
+def shared_counts(parts: int):
+    """How many shingles of each id other ids have too, as far as a bucket tells: packed rows, dealt to ``parts`` by id."""
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        keys, ids, sizes = gathered(table)
+        if key[0].as_py() >= 0:
+            order, starts, several = shared_runs(keys, ids)
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+            lone = sizes[order] == 0
+            alone = np.ones(len(starts), bool)
+            alone[run[lone]] = False  # shared inside a slice
+            keep = order[(several | ~alone)[run] & ~lone]
+            ids, sizes = np.unique(ids[keep], return_counts=True)
+        dealt = by_bucket(bucket_of(mixed(ids.astype(np.uint64)), parts)) if len(ids) else ()
+        return table_of(PARTIAL, [(part, pack_ids(ids[at]), sizes[at].astype(np.int32).tobytes()) for part, at in dealt])
+
+    return count
+
+
+def summed_counts(table: pa.Table) -> pa.Table:
+    """The counts of all buckets for the ids of one part."""
+    ids = joined([unpack_ids(i) for i in table.column("ids").to_pylist()], "i8")
+    counts = joined([np.frombuffer(c, np.int32) for c in table.column("counts").to_pylist()], "i4")
+    known, at = np.unique(ids, return_inverse=True)
+    return pa.table({"id": known, "o": np.bincount(at, counts, len(known)).astype(np.int64)})
 
 
 def close(n: Column, m: Column, o: Column) -> Column:
@@ -411,9 +425,12 @@ def candidate_links(rows: DataFrame, total: int) -> DataFrame:
     sets = settle(lambda: restricted(rows, active, ["_id"], "left_semi").mapInArrow(token_sets, SETS))
     size = sets.groupBy("id").agg((F.max(F.length("tokens")) / 8).cast("bigint").alias("m"))
 
+    # An id meets at most as many buckets as it has shingles; parts hold the counts of that many.
+    parts = parts_for(12 * (size.agg(F.sum(F.least("m", F.lit(2 * buckets)))).head()[0] or 0), BUCKET)
+
     def hopes() -> DataFrame:
-        counted = sets.mapInArrow(token_rows(buckets), KEYED).groupBy("bucket").applyInArrow(shared_counts, COUNTS)
-        common = counted.groupBy("id").agg(F.sum("o").alias("o")).join(size, "id")
+        counted = sets.mapInArrow(token_rows(buckets), KEYED).groupBy("bucket").applyInArrow(shared_counts(parts), PARTIAL)
+        common = counted.groupBy("part").applyInArrow(summed_counts, COUNTS).join(size, "id")
         return common.where(F.col("o") * DEN >= F.col("m") * NUM).select("id", "o")
 
     hopeful = settle(hopes)
