@@ -25,7 +25,8 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``scale * value`` must be at least ``low * base`` and at most ``high * base``; whole numbers, so nothing rounds."""
+    """``scale * value`` must be at least ``low * base`` and at most ``high * base``; whole numbers, so nothing rounds.
+    Where ``seen`` names a count, the rule is only for texts in which that is not 0."""
 
     name: str
     value: str
@@ -33,6 +34,7 @@ class Rule:
     scale: int = 100
     low: int | None = None
     high: int | None = None
+    seen: str | None = None
 
 
 #: Rules that reject a text whatever else holds.
@@ -40,13 +42,13 @@ BASE_RULES = (
     Rule("words", "n_words", "one", scale=1, low=50),
     Rule("repeated words", "n_repeat_words", "n_words", high=50),
 )
-#: The other rules: length, symbol, stop-word and line ratios.
+#: The other rules: length, symbol, stop-word and line ratios. A text without any of the stop words may be in a language
+#: that the list doesn't know, so that rule is not for it.
 RULES = (
-    Rule("most words", "n_words", "one", scale=1, high=1_000_000),
     Rule("shortest mean word", "word_chars", "n_words", scale=1, low=2),
     Rule("longest mean word", "word_chars", "n_words", scale=1, high=15),
     Rule("symbols to words", "n_symbols", "n_words", high=30),
-    Rule("stop words", "n_stop_words", "n_words", low=2),
+    Rule("stop words", "n_stop_words", "n_words", low=2, seen="n_stop_words"),
     Rule("repeated lines", "n_dup_lines", "n_lines", high=40),
 )
 
@@ -55,11 +57,12 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
     """True where every rule of the table holds."""
     holds = F.lit(True)
     for rule in rules:
-        value = F.col(rule.value) * rule.scale
+        value, own = F.col(rule.value) * rule.scale, F.lit(True)
         if rule.low is not None:
-            holds = holds & (value >= F.col(rule.base) * rule.low)
+            own = own & (value >= F.col(rule.base) * rule.low)
         if rule.high is not None:
-            holds = holds & (value <= F.col(rule.base) * rule.high)
+            own = own & (value <= F.col(rule.base) * rule.high)
+        holds = holds & (own | (F.col(rule.seen) == 0) if rule.seen else own)
     return holds
 
 
@@ -94,7 +97,7 @@ def repeated_words(words: Column) -> Column:
 def measure(text: Column) -> Column:
     """All counts of one text as a struct; null has none."""
     whole = F.coalesce(text, F.lit(""))
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = sorted(set(STOP_WORDS))
 
     def of_text(t: Column) -> Column:
         symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
@@ -111,7 +114,7 @@ def measure(text: Column) -> Column:
                     F.size(ls).cast("bigint").alias("n_lines"),
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
                     repeated_words(w).cast("bigint").alias("n_repeat_words"),
-                    F.size(F.filter(F.transform(w, F.lower), lambda x: F.array_contains(stop, x))).cast("bigint").alias("n_stop_words"),
+                    F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("bigint").alias("n_stop_words"),
                     F.lit(1).cast("bigint").alias("one"),
                 ),
             ),
@@ -130,7 +133,9 @@ def judge_quality(docs: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules: t
     measured = docs.withColumn(own, measure(F.col("text")))
 
     def in_struct(table: tuple[Rule, ...]) -> Column:
-        return verdict(tuple(Rule(r.name, f"{own}.{r.value}", f"{own}.{r.base}", r.scale, r.low, r.high) for r in table))
+        return verdict(
+            tuple(Rule(r.name, f"{own}.{r.value}", f"{own}.{r.base}", r.scale, r.low, r.high, r.seen and f"{own}.{r.seen}") for r in table)
+        )
 
     return measured.withColumn(
         name, F.struct(f"{own}.*", (~in_struct(base)).alias("base_failed"), (in_struct(base) & in_struct(rules)).alias("kept"))
@@ -138,7 +143,8 @@ def judge_quality(docs: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules: t
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+    """The documents that the rules keep, with their columns. Repeated rows stay as often as they come; null, empty and
+    wordless texts go; an empty table stays empty."""
     judged = judge_quality(docs)
     name = judged.columns[-1]
     return judged.where(F.col(f"{name}.kept")).select(*docs.columns)

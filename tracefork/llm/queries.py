@@ -129,10 +129,11 @@ def quality_sql() -> str:
     def holds(rules: tuple[quality.Rule, ...]) -> str:
         tests = []
         for r in rules:
+            unseen = f" OR {r.seen} = 0" if r.seen else ""
             if r.low is not None:
-                tests.append(f"{r.scale} * {r.value} >= {r.low} * {r.base}")
+                tests.append(f"({r.scale} * {r.value} >= {r.low} * {r.base}{unseen})")
             if r.high is not None:
-                tests.append(f"{r.scale} * {r.value} <= {r.high} * {r.base}")
+                tests.append(f"({r.scale} * {r.value} <= {r.high} * {r.base}{unseen})")
         return " AND ".join(tests)
 
     return f"""
