@@ -45,7 +45,7 @@ def test_clean_texts_of_other_languages_and_of_any_length_stay(spark):
     turkish = "Yağmur bütün gece sürdü ve sabah kasabanın üstünü ince bir sis örttü".split()
     russian = "Утром поезд пришёл вовремя и мы пошли пешком через старый мост к реке".split()
     texts = [" ".join(f"{w}{rng.randrange(99)}" for w in rng.choices(words, k=120)) for words in (turkish, russian)]
-    texts.append("the " + " ".join(f"word{rng.randrange(10**6)} of" for _ in range(600_000)))
+    texts.append("the " + " ".join(f"word{i} of" for i in range(600_000)))
     few = "the " + " ".join(f"kx{rng.randrange(10**6)}" for _ in range(200))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, few])], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.quality.kept) for r in quality.judge_quality(docs).collect()) == [(0, True), (1, True), (2, True), (3, False)]
