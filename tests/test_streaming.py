@@ -7,12 +7,13 @@ import pytest
 from tracefork.functions.answers import numeric_answer
 from tracefork.operators import background as bg
 from tracefork.plans.failed_trace import TraceConfig, cache_features, plan_repair, select_sequences
-from tracefork.schemas import TOPK
+from tracefork.schemas import CACHE_ARRAYS, TOPK
 from tracefork.sources import feature_cache as fc
-from tracefork.streaming.incremental import extract_stream
+from tracefork.streaming.incremental import extract_stream, extract_topk_stream
+from tracefork.streaming.lifetime import Lifetime, write_events
 from tracefork.streaming.ordering import StepBuffer
-from tracefork.streaming.page_hinkley import PageHinkley
-from tracefork.streaming.scan_statistic import scan_stream
+from tracefork.streaming.page_hinkley import PageHinkley, detect_events
+from tracefork.streaming.scan_statistic import scan_events, scan_stream
 
 STEP = "pid string, rollout_idx long, t long, d_t double"
 SCORED = "pid string, rollout_idx long, t long, J_t double, tau_t string, lambda_J double"
@@ -89,6 +90,93 @@ def test_buffer_waits_for_the_gap_and_drops_repeats():
     assert [t for t, _ in held.take([frame(0, 1, 2)], ["x"])] == [0, 1]
 
 
+@pytest.mark.parametrize("held", [0, 1])
+def test_buffer_is_bounded_and_tells_what_it_drops(held):
+    import pandas as pd
+
+    rng = random.Random(13)
+    for _ in range(60):
+        steps = [t for t in range(40) if rng.random() > 0.1]
+        rng.shuffle(steps)
+        buffer, done, spilled = StepBuffer(0, {}, held, most=4), [], []
+        for at in range(0, len(steps), 5):
+            frame = pd.DataFrame({"t": steps[at : at + 5], "x": 0.0})
+            done += [t for t, _ in buffer.take([frame], ["x"])]
+            spilled += [t for t, _ in buffer.spilled()]
+            assert len(buffer.waiting) <= 4 + held
+        assert done == list(range(len(done)))
+        left = [t for t, _ in buffer.left()]
+        held_back = set(range(len(done), buffer.next_step))
+        assert len(held_back) <= held
+        assert sorted([*done, *held_back, *spilled, *left]) == sorted(steps)
+
+
+TIMED = "pid string, rollout_idx long, t long, d_t double, s long, last boolean"
+
+
+def timed_stream(spark, path, batches, schema=TIMED):
+    stream = file_stream(spark, path, batches, schema)
+    return stream.selectExpr("*", "timestamp_seconds(s + 1000) AS at").withWatermark("at", "10 seconds")
+
+
+def run_events(events, tmp_path):
+    q = write_events(events, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    rows = events.sparkSession.read.schema(events.schema).parquet(str(tmp_path / "out")).collect()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return sorted((r.pid, r.kind, r.t) for r in rows if r.pid != "clock"), kept
+
+
+def clock(*seconds):
+    return [[("clock", 0, s, 0.0, s, False)] for s in seconds]
+
+
+def climbing(pid, n, start=0, last=False):
+    """A trace that fires soon after step 20."""
+    return [(pid, 0, t, 0.1 * (t % 2) if t < 20 else 9.0, start + t, last and t == n - 1) for t in range(n)]
+
+
+def test_an_ended_trace_does_not_fire_again_and_is_forgotten(spark, tmp_path):
+    life = Lifetime(event_time="at", idle_ms=30_000, forget_ms=200_000)
+    batches = [
+        climbing("a", 25) + climbing("b", 15),  # a fires, b stops short of it
+        *clock(100, 101),  # both have been silent for long enough
+        climbing("a", 40, start=105) + climbing("b", 40, start=105),  # both come again: too late
+        *clock(2_000, 2_001, 2_002),  # and are forgotten
+    ]
+    got, kept = run_events(detect_events(timed_stream(spark, tmp_path / "in", batches), lam=8.0, life=life), tmp_path)
+    assert [x for x in got if x[1] == "fire"] == [("a", "fire", 20)]
+    late = {(p, t) for p, kind, t in got if kind == "late"}
+    assert {("b", t) for t in range(15, 40)} <= late and not {t for p, t in late if p == "b" and t < 15}
+    assert max(kept) >= 3 and kept[-1] <= 1  # the clock's own trace at most
+
+
+def test_a_marked_last_step_ends_a_trace(spark, tmp_path):
+    steps = climbing("a", 15, last=True)
+    more = [("a", 0, t, 9.0, t, False) for t in range(12, 30)]
+    got, _ = run_events(detect_events(timed_stream(spark, tmp_path / "in", [steps[8:], steps[:8], more]), lam=8.0, life=Lifetime(last="last")), tmp_path)
+    assert got == [("a", "late", t) for t in range(15, 30)]
+
+
+def test_steps_behind_a_gap_are_told(spark, tmp_path):
+    life = Lifetime(event_time="at", idle_ms=30_000, max_waiting=4)
+    steps = [x for x in climbing("a", 30) if x[2] != 12]
+    batches = [steps[:14], steps[14:], *clock(200, 201, 202)]
+    got, _ = run_events(detect_events(timed_stream(spark, tmp_path / "in", batches), lam=8.0, life=life), tmp_path)
+    assert got == [("a", "unplaced", t) for t in range(13, 30)]
+
+
+def test_scan_state_ends_too(spark, tmp_path):
+    life = Lifetime(event_time="at", idle_ms=30_000)
+    rows = [("a", 0, t, 0.5, "path", 9.0, t) for t in range(12)] + [("a", 0, 14, 0.5, "cov", 9.0, 14)]
+    ticks = [[("clock", 0, s, 0.0, "path", 9.0, s)] for s in (200, 201, 900, 901, 902)]
+    schema = SCORED + ", s long"
+    events = scan_events(timed_stream(spark, tmp_path / "in", [rows, *ticks], schema), w=2, warmup=3, life=life)
+    got, kept = run_events(events, tmp_path)
+    assert got == [("a", "unplaced", 14)]  # step 11 was only held back
+    assert kept[-1] <= 1
+
+
 # ---- the two stages end to end ----
 
 
@@ -147,3 +235,34 @@ def test_incremental_extraction_is_resumable(spark, tmp_path, world):
     cell = fc.scan_cell(spark, cache, "a", "b").collect()
     assert sorted((r.pid, r.rollout_idx) for r in cell) == sorted((r.pid, r.rollout_idx) for r in rows)
     assert all(len(r.J_approx) > 0 for r in cell)
+
+
+def test_topk_rows_are_read_once_in_any_order(spark, tmp_path, world):
+    _, prompts, rollouts, topk = world
+    seq = rollouts.where("size(output_ids) > 0").selectExpr("problem_id AS pid", "rollout_idx", "output_ids")
+    seq = seq.join(prompts, "pid").selectExpr("pid", "rollout_idx", "output_ids", "CAST(size(prompt_ids) AS BIGINT) AS prompt_len")
+    wanted = topk.join(seq.select("pid", "rollout_idx"), ["pid", "rollout_idx"], "left_semi").collect()
+    random.Random(3).shuffle(wanted)
+    whole, cut = str(tmp_path / "whole"), str(tmp_path / "cut")
+
+    def extracted(cache, batches, name):
+        stream = file_stream(spark, tmp_path / f"in-{name}", batches, TOPK)
+        q = extract_topk_stream(stream, lambda _: seq, cache, "a", "b", str(tmp_path / f"pending-{name}"), str(tmp_path / f"cp-{name}"), k_cov=3)
+        q.awaitTermination()
+        assert sum(p["numInputRows"] for p in q.recentProgress) == len(wanted)
+        rows = fc.scan_cell(spark, cache, "a", "b").collect()
+        assert len({(r.pid, r.rollout_idx) for r in rows}) == len(rows)
+        return {(r.pid, r.rollout_idx, name): r[name] for r in rows for name in CACHE_ARRAYS}
+
+    n = len(wanted)
+    one = extracted(whole, [wanted], "one")
+    two = extracted(cut, [wanted[: n // 3], wanted[n // 3 : n - 5], wanted[n - 5 :]], "cut")
+    assert two.keys() == one.keys() and all(two[k] == pytest.approx(v, abs=1e-5) for k, v in one.items())
+    assert len(one) == seq.count() * len(CACHE_ARRAYS)
+    left = spark.read.parquet(str(tmp_path / "pending-cut" / "batch=2"))
+    assert left.count() == 0
+    short = str(tmp_path / "short")
+    stream = file_stream(spark, tmp_path / "in-short", [wanted[: n - 5]], TOPK)
+    extract_topk_stream(stream, lambda _: seq, short, "a", "b", str(tmp_path / "pending-short"), str(tmp_path / "cp-short"), k_cov=3).awaitTermination()
+    waiting = spark.read.parquet(str(tmp_path / "pending-short" / "batch=0")).select("pid", "rollout_idx").distinct().count()
+    assert waiting >= 1 and fc.scan_cell(spark, short, "a", "b").count() == seq.count() - waiting

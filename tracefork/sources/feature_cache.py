@@ -44,10 +44,14 @@ def append_features(
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def next_shard(spark: SparkSession, path: str, task: str, model_tag: str) -> int:
     """One more than the largest shard of the cell; 0 for a new cache."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not path_exists(spark, path):
         return 0
     last = scan_cell(spark, path, task, model_tag).agg(F.max("shard")).head()[0]
     return 0 if last is None else last + 1

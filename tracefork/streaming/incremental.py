@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracefork.operators.selection import not_cached, taken_tokens
 from tracefork.operators.token_features import COVERAGE_K, TEMPERATURE, assemble_traces, token_features
 from tracefork.schemas import TRACE
-from tracefork.sources.feature_cache import append_features, done_keys, next_shard, scan_cell
+from tracefork.session import durable
+from tracefork.sources.feature_cache import append_features, done_keys, next_shard, path_exists, scan_cell
 
 
 def extract_batch(
@@ -42,11 +46,10 @@ def extract_stream(
     """Run ``extract_batch`` on every micro-batch of a stream of token sequences."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        hadoop = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(cache_path)
-        fs = hadoop.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration())
         # The cell's own numbers go on, also where a new checkpoint starts the batches at 0 again.
         shard = next_shard(batch.sparkSession, cache_path, task, model_tag)
-        extract_batch(batch, topk, cache_path, task, model_tag, shard, first=not fs.exists(hadoop), **options)
+        first = not path_exists(batch.sparkSession, cache_path)
+        extract_batch(batch, topk, cache_path, task, model_tag, shard, first=first, **options)
 
     return (
         sequences.writeStream.foreachBatch(each)
@@ -54,3 +57,45 @@ def extract_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def extract_topk_stream(
+    topk: DataFrame,
+    sequences: Callable[[SparkSession], DataFrame],
+    cache_path: str,
+    task: str,
+    model_tag: str,
+    pending_path: str,
+    checkpoint: str,
+    **options,
+) -> StreamingQuery:
+    """Features from a stream of top-K rows, each of which is read once, whatever their order.
+
+    ``sequences`` gives the token sequences known when a batch starts. A rollout is extracted in the batch that brings
+    the last of its positions (two models at each); until then its rows wait in ``pending_path``, a folder for each
+    batch, which the next batch reads instead of the source. Rollouts that never become whole stay listed there. A batch
+    that is run again finds its rollouts cached and writes the same pending rows.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before, after = (f"{pending_path}/batch={i}" for i in (batch_id - 1, batch_id))
+        if path_exists(spark, before):
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(before))
+        first = not path_exists(spark, cache_path)
+        cached = None if first else done_keys(scan_cell(spark, cache_path, task, model_tag))
+        rows = durable(batch if cached is None else batch.join(cached, TRACE, "left_anti"))
+        known = sequences(spark).dropDuplicates(TRACE)
+        places = rows.groupBy(*TRACE).agg(F.count_distinct("model", "pos").alias("places"))
+        whole = durable(known.join(places, TRACE).where(F.col("places") >= 2 * F.size("output_ids")).drop("places"))
+        if not whole.isEmpty():
+            shard = next_shard(spark, cache_path, task, model_tag)
+            extract_batch(whole, rows, cache_path, task, model_tag, shard, first=first, **options)
+        rows.join(whole.select(*TRACE), TRACE, "left_anti").write.mode("overwrite").parquet(after)
+
+    return (
+        topk.writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

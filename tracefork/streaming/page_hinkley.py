@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefork.operators.page_hinkley import BETA, MIN_STEP, SIGNALS, detect, first_armed_step
 from tracefork.schemas import TRACE
-from tracefork.streaming.ordering import StepBuffer
+from tracefork.streaming.lifetime import Lifetime, fires, fold_stream
 
-FIRE_SCHEMA = (
-    "pid string, rollout_idx long, step long, g_at_fire double, mu_at_fire double, signal_at_fire double"
-)
-_STATE = "next_step long, mu double, g double, fired boolean, wait_t array<long>, wait_x array<double>"
+
+@dataclass(frozen=True)
+class ExcessFold:
+    """The running mean and the excess sum; fires where the excess passes ``lam``."""
+
+    lam: float
+    beta: float
+    armed: int
+    state = {"mu": "double", "g": "double"}
+    fire = {"g_at_fire": "double", "mu_at_fire": "double", "signal_at_fire": "double"}
+
+    def start(self) -> tuple:
+        return None, 0.0
+
+    def step(self, acc: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        (mu, g), (t, x) = acc, row
+        mu = x if mu is None else (1 - self.beta) * mu + self.beta * x
+        if t >= self.armed:
+            g = max(0.0, g + (x - mu))
+        return (mu, g), (g, mu, x) if t >= self.armed and g > self.lam else None
+
+
+def detect_events(
+    steps: DataFrame,
+    lam: float,
+    beta: float = BETA,
+    min_step: int = MIN_STEP,
+    signal_type: str = "demotion",
+    life: Lifetime = Lifetime(),
+) -> DataFrame:
+    """Fires of ``(pid, rollout_idx, t, <signal>)`` rows, and the steps that no state could take (``kind``)."""
+    signal = F.col(SIGNALS[signal_type]).cast("double").alias("x")
+    wanted = [c for c in (life.event_time, life.last) if c]
+    fold = ExcessFold(lam, beta, first_armed_step(beta, min_step))
+    return fold_stream(steps.select(*TRACE, "t", signal, *wanted), {"x": "double"}, fold, life)
 
 
 def detect_stream(
@@ -26,47 +54,13 @@ def detect_stream(
     beta: float = BETA,
     min_step: int = MIN_STEP,
     signal_type: str = "demotion",
-    idle_timeout_ms: int | None = None,
+    life: Lifetime = Lifetime(),
 ) -> DataFrame:
-    """Streaming twin of the batch detector over ``(pid, rollout_idx, t, <signal>)``.
+    """Streaming twin of the batch detector: the fires alone.
 
-    A new rollout starts from fresh state, which is the reset. After firing only a flag is kept; with
-    ``idle_timeout_ms`` a rollout's state goes away once it has been silent that long.
+    A new rollout starts from fresh state, which is the reset. After firing only a mark is kept, which ``life`` lets go.
     """
-    armed = first_armed_step(beta, min_step)
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        next_step, mu, g, fired, wait_t, wait_x = state.get if state.exists else (0, None, 0.0, False, [], [])
-        buffer = StepBuffer(next_step, {t: (t, x) for t, x in zip(wait_t, wait_x)})
-        event = None
-        for t, x in () if fired else buffer.take(frames, ["x"]):
-            mu = x if mu is None else (1 - beta) * mu + beta * x
-            if t < armed:
-                continue
-            g = max(0.0, g + (x - mu))
-            if g > lam:
-                fired, event = True, (*key, t, g, mu, x)
-                break
-        early = {} if fired else buffer.waiting
-        state.update(
-            (buffer.next_step, mu, g, fired, list(early), [float(row[1]) for row in early.values()])
-        )
-        if idle_timeout_ms is not None:
-            state.setTimeoutDuration(idle_timeout_ms)
-        if event:
-            yield pd.DataFrame(
-                [event], columns=["pid", "rollout_idx", "step", "g_at_fire", "mu_at_fire", "signal_at_fire"]
-            )
-
-    timeout = GroupStateTimeout.NoTimeout if idle_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return (
-        steps.select(*TRACE, "t", F.col(SIGNALS[signal_type]).cast("double").alias("x"))
-        .groupBy(*TRACE)
-        .applyInPandasWithState(update, FIRE_SCHEMA, _STATE, "append", timeout)
-    )
+    return fires(detect_events(steps, lam, beta, min_step, signal_type, life), ExcessFold.fire, "step")
 
 
 @dataclass(frozen=True)

@@ -2,48 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from tracefork.operators.background import WARMUP
 from tracefork.schemas import TRACE
-from tracefork.streaming.ordering import StepBuffer
+from tracefork.streaming.lifetime import Lifetime, fires, fold_stream
 
-FIRE_SCHEMA = "pid string, rollout_idx long, t_hat long, tau_hat string, S_t double"
-_STATE = (
-    "next_step long, recent array<double>, fired boolean, "
-    "wait_t array<long>, wait_j array<double>, wait_tau array<string>, wait_lam array<double>"
-)
+VALUES = {"J_t": "double", "tau_t": "string", "lambda_J": "double"}
 
 
-def scan_stream(scored: DataFrame, w: int = 1, warmup: int = WARMUP) -> DataFrame:
-    """Fire events of ``(pid, rollout_idx, t, J_t, tau_t, lambda_J)`` rows.
+@dataclass(frozen=True)
+class WindowFold:
+    """The sum of the last ``w`` scores; fires where a full window passes the token's threshold after the warm-up."""
+
+    w: int
+    warmup: int
+    state = {"recent": "array<double>"}
+    fire = {"tau_hat": "string", "S_t": "double"}
+
+    def start(self) -> tuple:
+        return ([],)
+
+    def step(self, acc: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        t, score, tau, threshold = row
+        recent = [*acc[0], float(score)][-self.w :]
+        total = sum(recent)
+        passes = len(recent) == self.w and total > threshold and t >= self.warmup
+        return (recent,), (tau, total) if passes else None
+
+
+def scan_events(scored: DataFrame, w: int = 1, warmup: int = WARMUP, life: Lifetime = Lifetime()) -> DataFrame:
+    """Fires of ``(pid, rollout_idx, t, J_t, tau_t, lambda_J)`` rows, and the tokens that no state could take.
 
     Token ``t`` counts once token ``t + 1`` has arrived, so the newest token is held back.
     """
-    columns = ["J_t", "tau_t", "lambda_J"]
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_step, recent, fired, *waiting = state.get if state.exists else (0, [], False, [], [], [], [])
-        buffer = StepBuffer(next_step, {row[0]: row for row in zip(*waiting)}, held=1)
-        recent, event = list(recent), None
-        for t, j, tau, lam in () if fired else buffer.take(frames, columns):
-            recent = [*recent, float(j)][-w:]
-            total = sum(recent)
-            if len(recent) == w and total > lam and t >= warmup:
-                fired, event = True, (*key, t, tau, total)
-                break
-        rows = [] if fired else list(buffer.waiting.values())
-        packed = [list(c) for c in zip(*rows)] if rows else [[], [], [], []]
-        state.update((buffer.next_step, recent, fired, *packed))
-        if event:
-            yield pd.DataFrame([event], columns=["pid", "rollout_idx", "t_hat", "tau_hat", "S_t"])
+    wanted = [c for c in (life.event_time, life.last) if c]
+    return fold_stream(scored.select(*TRACE, "t", *VALUES, *wanted), VALUES, WindowFold(w, warmup), life, held=1)
+
+
+def scan_stream(scored: DataFrame, w: int = 1, warmup: int = WARMUP, life: Lifetime = Lifetime()) -> DataFrame:
+    """The fires of ``scan_events`` alone."""
+    return fires(scan_events(scored, w, warmup, life), WindowFold.fire, "t_hat")
+
+
+def score_stream(
+    tokens: DataFrame,
+    score: Callable[[DataFrame, SparkSession], DataFrame],
+    path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Score every micro-batch of a token stream and keep the result below ``path``, a folder for each batch.
+
+    ``score`` gets the batch and its session and reads the background itself, so each batch meets the backgrounds that
+    are there when it starts: a file table bound to the stream once would be listed once. A batch that is run again
+    writes its folder anew; what a reader saw of the first try comes twice, and the scan drops repeated tokens.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        score(batch, batch.sparkSession).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        scored.select(*TRACE, "t", *columns)
-        .groupBy(*TRACE)
-        .applyInPandasWithState(update, FIRE_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+        tokens.writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def scored_tokens(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``score_stream`` keeps, as a stream for the scan."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
