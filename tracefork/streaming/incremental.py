@@ -59,6 +59,17 @@ def extract_stream(
     )
 
 
+def whole_places(topk: DataFrame, sequences: DataFrame, per_place: int | None) -> DataFrame:
+    """How many places of each rollout have all their rows."""
+    if per_place is None:
+        return topk.groupBy(*TRACE).agg(F.count_distinct("model", "pos").alias("places"))
+    taken = taken_tokens(sequences).select(*TRACE, "pos", F.col("x_t").alias("x"))
+    found = topk.join(taken, [*TRACE, "pos"]).groupBy(*TRACE, "pos", "model")
+    ranks = F.count_distinct(F.when(F.col("rank") <= per_place, F.col("rank")))
+    full = found.agg(ranks.alias("ranks"), F.bool_or(F.col("token_id") == F.col("x")).alias("taken"))
+    return full.where((F.col("ranks") >= per_place) & F.col("taken")).groupBy(*TRACE).agg(F.count("*").alias("places"))
+
+
 def extract_topk_stream(
     topk: DataFrame,
     sequences: Callable[[SparkSession], DataFrame],
@@ -67,14 +78,17 @@ def extract_topk_stream(
     model_tag: str,
     pending_path: str,
     checkpoint: str,
+    per_place: int | None = None,
     **options,
 ) -> StreamingQuery:
     """Features from a stream of top-K rows, each of which is read once, whatever their order.
 
     ``sequences`` gives the token sequences known when a batch starts. A rollout is extracted in the batch that brings
-    the last of its positions (two models at each); until then its rows wait in ``pending_path``, a folder for each
-    batch, which the next batch reads instead of the source. Rollouts that never become whole stay listed there. A batch
-    that is run again finds its rollouts cached and writes the same pending rows.
+    the last of its places (a position in one of the two models); until then its rows wait in ``pending_path``, a folder
+    for each batch, which the next batch reads instead of the source. Rollouts that never become whole stay listed there.
+    The rows of one place are taken to come together; where they may not, ``per_place`` tells how many ranks a place has,
+    and it is whole once it has these and its taken token. A batch that is run again finds its rollouts cached and writes
+    the same pending rows.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -86,8 +100,7 @@ def extract_topk_stream(
         cached = None if first else done_keys(scan_cell(spark, cache_path, task, model_tag))
         rows = durable(batch if cached is None else batch.join(cached, TRACE, "left_anti"))
         known = sequences(spark).dropDuplicates(TRACE)
-        places = rows.groupBy(*TRACE).agg(F.count_distinct("model", "pos").alias("places"))
-        whole = durable(known.join(places, TRACE).where(F.col("places") >= 2 * F.size("output_ids")).drop("places"))
+        whole = durable(known.join(whole_places(rows, known, per_place), TRACE).where(F.col("places") >= 2 * F.size("output_ids")).drop("places"))
         if not whole.isEmpty():
             shard = next_shard(spark, cache_path, task, model_tag)
             extract_batch(whole, rows, cache_path, task, model_tag, shard, first=first, **options)
