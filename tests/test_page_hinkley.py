@@ -45,6 +45,18 @@ def test_fold_equals_loop(spark, block, beta):
             assert (r.g_at_fire, r.mu_at_fire, r.signal_at_fire) == pytest.approx(fire[1:], abs=1e-9)
 
 
+def test_block_length_changes_no_bit(spark):
+    """Also where the threshold is exactly a value that the excess takes, which fires or not by the last bit."""
+    _, df = traces(spark, [9, 40, 65, 200, 333], seed=4, drift=0.05)
+    armed = ph.first_armed_step(0.05, 20)
+    key = lambda rows: sorted((r.pid, r.g_max, r.step, r.g_at_fire, r.mu_at_fire, r.signal_at_fire) for r in rows)
+    tops = sorted(r.g_max for r in ph.fold_traces(df, "d_t", 1e9, armed).collect())
+    for lam in (3.0, tops[-2], tops[-3]):
+        whole = key(ph.fold_traces(df, "d_t", lam, armed, block=4096).collect())
+        for block in (8, 61, 100):
+            assert key(ph.fold_traces(df, "d_t", lam, armed, block=block).collect()) == whole
+
+
 def test_online_and_calibration_start_at_different_steps():
     # the online counter is 1-based: with a small min_step it is armed one step earlier
     assert ph.first_armed_step(0.05, 0) == 19

@@ -266,6 +266,23 @@ def b5(spark, sf):
     return failed.select("doc_id", "problem_id", "rollout_idx")
 
 
+@query(
+    "b5_last_of_repeated_problems",
+    I.with_sql(
+        *[
+            part.replace("THEN '1,00' ELSE '' END ||", "AND item_id % 3 <> 0 THEN '1,00' ELSE '' END ||").replace(
+                "CAST(item_id % 5 AS VARCHAR) AS answer", "CAST((item_id + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END) % 5 AS VARCHAR) AS answer"
+            )
+            for part in I.MARKED
+        ],
+        "SELECT doc_id, problem_id, rollout_idx FROM mk WHERE NOT ok",
+    ),
+)
+def b5_last(spark, sf):
+    failed = sel.failures(I.rollouts(spark, sf), I.repeated_problems(spark, sf), an.numeric_answer)
+    return failed.select("doc_id", "problem_id", "rollout_idx")
+
+
 @query("b5_failures_unchecked", I.with_sql(*I.ROLLOUTS, "SELECT doc_id FROM ro WHERE NOT coalesce(is_correct, false)"))
 def b5_plain(spark, sf):
     return sel.failures(I.rollouts(spark, sf), I.problems(spark, sf)).select("doc_id")

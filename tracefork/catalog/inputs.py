@@ -355,17 +355,21 @@ def dense_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def all_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (pid, k, condition, correct), dense included, one explode over the cases."""
+def all_outcomes(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Every (pid, k, condition, correct), dense included, one explode over the cases. Where only the problem counts,
+    the cases need no number."""
     arms = [F.struct(F.lit(c).alias("condition"), F.expr(CONDITION_RULES[c]).alias("correct")) for c in SWEPT]
     dense = F.when(
         F.col("l_quantity") > 25,
         F.struct(F.lit("dense").alias("condition"), F.expr(CONDITION_RULES["dense"]).alias("correct")),
     )
+    if numbered:
+        cases, key = sweep_lines(spark, sf_dir), ["pid", "k"]
+    else:
+        cases, key = table(spark, sf_dir, "lineitem").withColumn("pid", F.col("l_orderkey").cast("string")), ["pid"]
     return (
-        sweep_lines(spark, sf_dir)
-        .select("pid", "k", F.explode(F.array_compact(F.array(*arms, dense))).alias("a"))
-        .select("pid", "k", "a.condition", "a.correct")
+        cases.select(*key, F.explode(F.array_compact(F.array(*arms, dense))).alias("a"))
+        .select(*key, "a.condition", "a.correct")
     )
 
 
@@ -402,6 +406,15 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The problems with line numbers; every third comes three times, and the answer of its last line differs."""
+    item = F.col("problem_id").cast("bigint")
+    one = problems(spark, sf_dir).withColumn("line", item * 10 + 5)
+    early = one.where(item % 3 == 0).withColumns({"answer": F.lit("9999"), "line": item * 10})
+    late = one.where(item % 3 == 0).withColumns({"answer": ((item + 1) % 5).cast("string"), "line": item * 10 + 7})
+    return late.unionByName(one).unionByName(early)
+
+
 def generated(text: Column, doc: Column, chars: Column) -> Column:
     digit = (chars % 5).cast("string")
     return (

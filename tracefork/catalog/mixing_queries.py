@@ -151,8 +151,9 @@ def vocab_map() -> Column:
 
 CROSS = [
     *I.LOGITS,
-    """cv AS (SELECT s.*, s.token % 9 = 0 AS unmapped, a.z_a AS z_m FROM zl s JOIN zl a ON a.vec_id = s.vec_id
-        AND a.token = CASE WHEN s.token % 9 = 0 THEN 0 ELSE (s.token * 5 + 3) % 60 END)""",
+    "za AS (SELECT vec_id, list(z_a ORDER BY token) AS za FROM zl GROUP BY vec_id)",
+    """cv AS (SELECT zl.*, token % 9 = 0 AS unmapped, za[CASE WHEN token % 9 = 0 THEN 1 ELSE (token * 5 + 3) % 60 + 1 END] AS z_m
+        FROM zl JOIN za USING (vec_id))""",
 ]
 
 
@@ -206,12 +207,26 @@ def g15(spark, sf):
 )
 def g16(spark, sf):
     """Seen tokens are those generated before the position."""
-    seen = F.when(F.col("t") > 0, F.slice(F.col("output_ids"), F.lit(1), F.col("t").cast("int"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    rows = I.logit_pairs(spark, sf).join(I.sequences(spark, sf).select(*TRACE, "output_ids"), TRACE)
-    penalised = rows.withColumn("seen", F.array_distinct(seen))
-    return spread_out(penalised, mx.repetition_penalty(F.col("z_s"), F.col("seen"), 1.2), "z")
+    rows = mx.with_seen(I.logit_pairs(spark, sf), I.sequences(spark, sf))
+    return spread_out(rows, mx.repetition_penalty(F.col("z_s"), F.col("seen"), 1.2), "z")
+
+
+@query(
+    "g16_prompt_tokens_are_seen",
+    I.with_sql(
+        *I.LOGITS,
+        """se AS (SELECT a.vec_id, b.x_t AS token FROM xt a JOIN xt b ON a.pid = b.pid AND a.rollout_idx = b.rollout_idx AND b.t < a.t
+        UNION SELECT vec_id, token FROM zl WHERE token % 8 = CAST(pid AS BIGINT) % 5)""",
+        f"""SELECT pid, rollout_idx, t, zl.token, {s6('z', 'CASE WHEN se.token IS NULL THEN z_s WHEN z_s > 0 THEN z_s / 1.2 ELSE z_s * 1.2 END')}
+        FROM zl LEFT JOIN se ON se.vec_id = zl.vec_id AND se.token = zl.token""",
+    ),
+)
+def g16_prompts(spark, sf):
+    """The prompt's ids count as seen too; ids beyond the vocabulary have no logit."""
+    eighth = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i * 8 + F.col("pid").cast("bigint") % 5)
+    prompts = I.prompts(spark, sf).select("pid", eighth.alias("prompt_ids"))
+    rows = mx.with_seen(I.logit_pairs(spark, sf), I.sequences(spark, sf), prompts)
+    return spread_out(rows, mx.repetition_penalty(F.col("z_s"), F.col("seen"), 1.2), "z")
 
 
 def junctions(spark, sf):

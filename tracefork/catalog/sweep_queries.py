@@ -86,6 +86,54 @@ def h4(spark, sf):
     return sw.fold_results(I.outcomes(spark, sf), sw.BASE_CONDITIONS, _FIELDS)
 
 
+_ALL = ["retry", "rand", "geo_pred", "geo_wrong", "local_temp_1p0", "local_temp_1p5", "local_temp_2p0"]
+_RECORD = ["correct", "n_tokens", "fired", "t_hat", "tau_hat", "entropy_sensitive", "T_local", "S_t", "J_t"]
+_FULL = ", ".join(f"max({f}) FILTER (condition = '{c}') AS {c}_{f}" for c in _ALL for f in _RECORD)
+
+
+@query(
+    "h4_full_records",
+    I.with_sql(
+        *I.SWEEP,
+        """o2 AS (SELECT oc.*, CASE WHEN fired THEN t_hat % 3 = 0 END AS entropy_sensitive,
+        CASE WHEN starts_with(condition, 'local_temp_') THEN CAST(replace(substr(condition, 12), 'p', '.') AS DOUBLE) END AS T_local,
+        CASE WHEN fired THEN t_hat / 8 END AS S_t, CASE WHEN fired THEN t_hat / 16 END AS J_t FROM oc)""",
+        f"fr AS (SELECT pid, k, {_FULL} FROM o2 GROUP BY pid, k)",
+        """ab AS (SELECT pid, k, count(*) AS n, count(*) FILTER ((t_hat + o) % 3 = 0) AS n_right FROM oc
+        CROSS JOIN (VALUES (-10), (-5), (0), (5), (10)) v(o) WHERE condition = 'geo_pred' AND fired GROUP BY pid, k)""",
+        """SELECT fr.*, dn.correct AS dense_correct, dn.n_tokens AS dense_n_tokens, dn.tau_hat AS dense_tau_hat,
+        coalesce(ab.n, 0) AS ablations, coalesce(ab.n_right, 0) AS ablations_right,
+        CASE WHEN fr.k <= 3 THEN l_quantity / 4 END AS lambda_J, CASE WHEN fr.k <= 3 THEN l_partkey % 5 END AS w
+        FROM fr JOIN ln0 USING (pid, k) LEFT JOIN dn USING (pid, k) LEFT JOIN ab USING (pid, k)""",
+    ),
+)
+def h4_full(spark, sf):
+    """Every field of every condition, the dense pass, the ablation map and the background's scalars."""
+    outcomes = I.outcomes(spark, sf)
+    temperature = F.when(F.col("condition").startswith("local_temp_"), F.regexp_replace(F.substring("condition", 12, 9), "p", ".").cast("double"))
+    score = F.when(F.col("fired"), F.struct((F.col("t_hat") / 8).alias("S_t"), (F.col("t_hat") / 16).alias("J_t")))
+    told = outcomes.withColumns(
+        {"entropy_sensitive": F.when(F.col("fired"), F.col("t_hat") % 3 == 0), "T_local": temperature, "fire_score": score}
+    )
+    lines = I.sweep_lines(spark, sf)
+    found = lines.where("k <= 3").select(
+        "pid", "k", (F.col("l_quantity") / 4).alias("lambda_J"), (F.col("l_partkey") % 5).alias("w"), F.lit("x").alias("name")
+    )
+    position = F.col("t_hat") + F.col("offset")
+    tried = sw.ablation_plan(outcomes).join(outcomes.where("condition = 'geo_pred'").select("pid", "k", "t_hat"), ["pid", "k"])
+    tried = tried.select("pid", "k", "offset", (position % 3 == 0).alias("correct"))
+    records = sw.full_records(told, I.dense_outcomes(spark, sf), tried, found)
+    plain = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in _ALL for f in _RECORD if f not in ("S_t", "J_t")]
+    scores = [F.col(f"{c}.fire_score.{f}").alias(f"{c}_{f}") for c in _ALL for f in ("S_t", "J_t")]
+    return records.select(
+        "pid", "k", *plain, *scores,
+        *[F.col(f"dense.{f}").alias(f"dense_{f}") for f in ("correct", "n_tokens", "tau_hat")],
+        F.size("ablation").cast("bigint").alias("ablations"),
+        F.size(F.filter(F.map_values("ablation"), lambda v: v)).cast("bigint").alias("ablations_right"),
+        "background.lambda_J", "background.w",
+    )
+
+
 @query(
     "h5_ablation_plan",
     I.with_sql(
@@ -162,7 +210,7 @@ FLAGS = [
 
 
 def flags(spark, sf):
-    return sw.rescue_flags(I.all_outcomes(spark, sf))
+    return sw.rescue_flags(I.all_outcomes(spark, sf, numbered=False))
 
 
 @query("h10_regimes", I.with_sql(*FLAGS, "SELECT regime, count(*) AS n FROM rg GROUP BY regime"))

@@ -67,10 +67,19 @@ def regex(pattern: str) -> CorrectnessColumn:
 
 
 def python_problem_check(fn: Callable[[dict, str], bool]) -> CorrectnessColumn:
-    """Wrap a Python ``fn(problem, text) -> bool`` that sees all columns of the problem, not its answer alone."""
+    """Wrap a Python ``fn(problem, text) -> bool`` that sees the whole problem, not its answer alone.
+
+    Where the problems come from a file, that is the object of their line with ``problem_id`` and ``prompt`` as loaded:
+    keys that no schema lists are there under their names, with the types that they have in the file.
+    """
+
+    def whole(problem: str | None) -> dict:
+        columns = json.loads(problem) if problem else {}
+        raw, _ = columns.pop("raw", None), columns.pop("extra", None)
+        return {**json.loads(raw), **{k: columns[k] for k in ("problem_id", "prompt") if k in columns}} if raw else columns
 
     def run(text: pd.Series, problem: pd.Series) -> pd.Series:
-        return pd.Series([bool(fn(json.loads(p) if p else {}, t or "")) for t, p in zip(text, problem)])
+        return pd.Series([bool(fn(whole(p), t or "")) for t, p in zip(text, problem)])
 
     def check(text: Column, problem: Column) -> Column:
         return F.pandas_udf(run, "boolean")(text, problem)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefork.functions import arrays as A
+from tracefork.operators.selection import one_per_key
 from tracefork.plans.skew import salted_join
 from tracefork.schemas import TRACE
 
@@ -141,7 +142,7 @@ def cross_vocabulary(z_s: Column, z_a: Column, vocab_map: Column, ancestor_weigh
     looked_up = A.let(z_a, lambda anc: mapped(vocab_map, anc))
     if w >= 1.0:
         replaced = F.zip_with(looked_up, vocab_map, lambda v, m: F.when(m == -1, F.lit(A.NEG_INF)).otherwise(v))
-        return F.coalesce(replaced, z_s)
+        return F.coalesce(F.when(z_a.isNotNull(), replaced), z_s)
     both = F.zip_with(z_s, looked_up, lambda s, v: F.struct(s.alias("s"), v.alias("v")))
     blended = F.zip_with(
         both,
@@ -216,6 +217,22 @@ def repetition_penalty(z: Column, seen: Column, penalty: float) -> Column:
     )
 
 
+def with_seen(steps: DataFrame, sequences: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
+    """``steps`` with ``seen``: the distinct ids of the rollout's prompt and of its tokens before ``t``.
+
+    A rollout without a prompt has only its own tokens; one without a sequence has only its prompt. The array is bounded
+    by the model's context.
+    """
+    none = F.array().cast("array<bigint>")
+    out = salted_join(steps, sequences.select(*TRACE, F.col("output_ids").cast("array<bigint>").alias("_own")), TRACE, ["t"], "left")
+    own = F.when(F.col("t") > 0, F.slice(F.coalesce("_own", none), F.lit(1), F.col("t").cast("int"))).otherwise(none)
+    if prompts is None:
+        return out.withColumn("seen", F.array_distinct(own)).drop("_own")
+    ids = prompts.select("pid", F.col("prompt_ids").cast("array<bigint>").alias("_prompt"))
+    out = salted_join(out, one_per_key(ids, ["pid"]), ["pid"], ["rollout_idx", "t"], "left")
+    return out.withColumn("seen", F.array_distinct(F.concat(F.coalesce("_prompt", none), own))).drop("_own", "_prompt")
+
+
 def in_window(step: Column, start: Column, width: int) -> Column:
     return (step >= start) & (step < start + width)
 

@@ -150,6 +150,43 @@ def _start_states(blocks: DataFrame, armed: int, beta: float, block: int) -> Dat
     return with_mu.join(maps, [*TRACE, "block"])
 
 
+def _fold_end(armed: int, beta: float) -> Column:
+    """(mean, excess) after a block begun at ``(mu0, g0)``."""
+    start = F.struct(_entry_mu().alias("mu"), F.col("g0").alias("g"))
+
+    def step(acc: Column, e: Column) -> Column:
+        mu, g = _advance(acc, e, armed, beta)
+        return F.struct(mu.alias("mu"), g.alias("g"))
+
+    return F.aggregate(_steps(), start, step)
+
+
+def _chained(blocks: DataFrame, armed: int, beta: float, block: int) -> DataFrame:
+    """``blocks`` with the states ``mu0``, ``g0`` in which one fold over the whole trace enters them.
+
+    Between rounds one narrow row per block is kept, and only blocks that began wrongly are folded again. Each round
+    settles at least the first wrong block of every trace.
+    """
+    key = [*TRACE, "block"]
+    order = W.partitionBy(*TRACE).orderBy("block")
+
+    def ended(begun: DataFrame) -> DataFrame:
+        return begun.select(*key, "mu0", "g0", _fold_end(armed, beta).alias("end"))
+
+    states = durable(ended(_start_states(blocks, armed, beta, block)))
+    while True:
+        due = F.lag("end").over(order)
+        linked = states.withColumns({"due_mu": due["mu"], "due_g": due["g"]})
+        wrong = durable(
+            linked.where((F.col("block") > 0) & ~(F.col("mu0").eqNullSafe(F.col("due_mu")) & F.col("g0").eqNullSafe(F.col("due_g"))))
+            .select(*key, F.col("due_mu").alias("mu0"), F.col("due_g").alias("g0"))
+        )
+        if wrong.isEmpty():
+            return blocks.join(states.select(*key, "mu0", "g0"), key)
+        again = ended(blocks.join(wrong, key))
+        states = durable(states.join(wrong.select(*key), key, "left_anti").unionByName(again))
+
+
 def fold_traces(
     steps: DataFrame,
     signal: str,
@@ -172,7 +209,7 @@ def fold_traces(
     long = blocks.where(~whole)
     if not long.isEmpty():
         first = F.min_by("r", F.when(F.col("r").isNotNull(), F.col("block")))
-        per_trace = folded(_start_states(long, armed, beta, block)).groupBy(*TRACE, *carry)
+        per_trace = folded(_chained(long, armed, beta, block)).groupBy(*TRACE, *carry)
         traces = traces.unionByName(per_trace.agg(F.max("g_max").alias("g_max"), first.alias("r")))
     return traces.select(
         *TRACE,

@@ -13,29 +13,37 @@ from tracefork.plans.skew import salted_join
 from tracefork.schemas import TRACE
 
 
+#: Number of the line that a row was read from.
+LINE = "line"
+
+
 def _present(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names if n in df.columns]
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key. Of repeated keys the largest row stays: tables have no last row, and this choice is the same in
-    every run."""
-    rest = [c for c in df.columns if c not in keys]
+    """One row per key. Of repeated keys the row with the largest ``line`` stays, where the table has that column, as the
+    last line of a file would. Else the largest row stays: a table has no last row, and this choice is the same in every
+    run."""
+    first = [c for c in df.columns if c == LINE]
+    rest = first + [c for c in df.columns if c not in (*keys, LINE)]
     best = F.max(F.struct(*rest)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best").getField(c).alias(c) for c in rest])
+    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best").getField(c).alias(c) for c in rest if c != LINE])
 
 
 def mark_correct(rollouts: DataFrame, problems: DataFrame, check: CorrectnessColumn | None) -> DataFrame:
     """Add ``ok``: an explicit non-null flag wins, then the check, else not correct.
 
     A rollout whose problem is missing is checked against a null gold answer. Salted, so a problem with
-    a large share of the rollouts is spread; Spark broadcasts the problems when their size allows it.
+    a large share of the rollouts is spread; Spark broadcasts the problems when their size allows it. Of problems that
+    repeat an id, the last line counts for every kind of check.
     """
     if check is None:
         return rollouts.withColumn("ok", F.coalesce("is_correct", F.lit(False)))
     whole = getattr(check, "whole_problem", False)  # such a check reads the problem as JSON
-    gold = F.to_json(F.struct(*problems.columns)) if whole else F.col("answer")
-    gold = one_per_key(problems.select("problem_id", gold.alias("gold")), ["problem_id"])
+    gold = F.to_json(F.struct(*[c for c in problems.columns if c != LINE])) if whole else F.col("answer")
+    line = [c for c in problems.columns if c == LINE]
+    gold = one_per_key(problems.select("problem_id", gold.alias("gold"), *line), ["problem_id"])
     return (
         salted_join(rollouts, gold, ["problem_id"], ["rollout_idx"], "left")
         .withColumn(

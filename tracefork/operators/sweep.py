@@ -27,6 +27,7 @@ RESCUER_CLASSES = {
 }
 
 CASE = ["pid", "k"]
+NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
 def temperature_tag(value: float) -> str:
@@ -106,6 +107,47 @@ def fold_results(outcomes: DataFrame, conditions: Sequence[str], fields: Sequenc
     )
 
 
+#: What the record of a case keeps of each attempt.
+RECORD_FIELDS = ("correct", "n_tokens", "fired", "t_hat", "tau_hat", "entropy_sensitive", "T_local", "fire_score")
+
+
+def full_records(
+    outcomes: DataFrame, dense: DataFrame, ablation: DataFrame, background: DataFrame, operators: Sequence[str] = ("local_temp",)
+) -> DataFrame:
+    """One record per (pid, k): a struct for each condition, ``dense`` (null where the case did not fire), the map
+    ``ablation`` from offset to correct (empty without a second pass) and the struct ``background``.
+
+    ``outcomes`` has one row per attempt with the fields of the record, of which a missing one is null everywhere;
+    attempts that did not fire have null details. ``fire_score`` may be a struct. Attempts meet in one aggregate on
+    fixed-width values; what is per case is joined to it on the same key.
+    """
+    names = [*BASE_CONDITIONS, *(c for c, _ in local_temp_conditions(operators))]
+    score = next((f for f in outcomes.schema if f.name == "fire_score"), None)
+    parts = [f.name for f in score.dataType] if score is not None and hasattr(score.dataType, "fieldNames") else []
+    flat = outcomes.select("*", *[F.col(f"fire_score.{p}").alias(f"_score_{p}") for p in parts])
+    fields = [f for f in RECORD_FIELDS if f in outcomes.columns and not (f == "fire_score" and parts)]
+    folded = fold_results(flat, names, [*fields, *(f"_score_{p}" for p in parts)])
+
+    def entry(condition: str) -> Column:
+        values = [F.col(f"{condition}_{f}").alias(f) for f in fields]
+        if parts:
+            whole = F.struct(*[F.col(f"{condition}__score_{p}").alias(p) for p in parts])
+            values.append(F.when(F.col(f"{condition}_fired"), whole).alias("fire_score"))
+        return F.when(F.col(f"{condition}_correct").isNotNull(), F.struct(*values)).alias(condition)
+
+    records = folded.select(*CASE, *[entry(c) for c in names])
+    own = [c for c in dense.columns if c not in (*CASE, "condition")]
+    passed = dense.select(*CASE, F.struct(*own).alias("dense"))
+    tried = ablation.groupBy(*CASE).agg(F.map_from_entries(F.collect_list(F.struct("offset", "correct"))).alias("ablation"))
+    scalars = [f.name for f in background.schema if f.name not in CASE and f.dataType.typeName() in NUMERIC]
+    known = background.select(*CASE, F.struct(*scalars).alias("background"))
+    none = F.create_map().cast("map<bigint,boolean>")
+    return (
+        records.join(passed, CASE, "left").join(tried, CASE, "left").join(known, CASE, "left")
+        .withColumn("ablation", F.coalesce("ablation", none))
+    )
+
+
 def fold_results_map(outcomes: DataFrame) -> DataFrame:
     """One record per (pid, k) with a map from condition to its result struct."""
     entry = F.struct("condition", F.struct("correct", "n_tokens", "t_hat", "tau_hat", "fired"))

@@ -89,8 +89,9 @@ def _typed(field: T.StructField) -> Column:
 
 
 def load_problems(spark: SparkSession, path: str, schema: T.StructType = PROBLEM_FILE) -> DataFrame:
-    """Problems from JSON lines; keys that the schema doesn't list are kept in ``extra``."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    """Problems from JSON lines, with their number (``line``) and text (``raw``); keys that the schema doesn't list are
+    in ``extra`` too, as text."""
+    lines = numbered_lines(spark, path).withColumn("raw", F.col("value"))
     return normalise_problems(parsed(lines, schema))
 
 
