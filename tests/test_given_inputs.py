@@ -153,3 +153,71 @@ def test_injection_with_a_third_of_the_ancestor_rows_absent(spark, mode):
             assert r.z_out[2] == 3.0 and r.z_out[1] <= A.NEG_INF
         else:
             assert r.z_out != r.z_s
+
+
+def cache_rows(spark, pids, value):
+    rows = [(p, 0, *[[value]] * len(CACHE_ARRAYS)) for p in pids]
+    return spark.createDataFrame(rows, "pid string, rollout_idx long, " + ", ".join(f"{c} array<double>" for c in CACHE_ARRAYS))
+
+
+def test_indexed_lookups_read_the_files_that_hold_the_keys(spark, tmp_path):
+    path, index, target, second = (str(tmp_path / n) for n in ("cache", "index", "compacted", "index2"))
+    pids = [f"p{i:03d}" for i in range(60)]
+    fc.append_features(cache_rows(spark, pids, 1.0), path, "t", "m", rows_per_file=5)
+    fc.refresh_index(spark, path, "t", "m", index)
+    fc.append_features(cache_rows(spark, pids[:6], 2.0), path, "t", "m", rows_per_file=5)
+    fc.refresh_index(spark, path, "t", "m", index)
+    fc.refresh_index(spark, path, "t", "m", index)  # knows all files already
+    assert spark.read.parquet(index).count() == 66
+    keys = [("p003", 0), ("p050", 0), ("none", 0)]
+    found = fc.indexed_lookup(spark, path, index, keys)
+    assert sorted((r.pid, r.V) for r in found.collect()) == [("p003", [2.0]), ("p050", [1.0])]
+    assert len([f for f in found.inputFiles() if "/cache/" in f]) == 2 < len(fc.scan_cell(spark, path, "t", "m").inputFiles())
+    fc.compact(spark, path, "t", "m", target)
+    fc.refresh_index(spark, target, "t", "m", second)
+    again = fc.indexed_lookup(spark, target, second, keys)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+    assert fc.scan_cell(spark, target, "t", "m").count() == 60
+    assert fc.indexed_lookup(spark, target, second, [("none", 0)]).collect() == []
+
+
+def test_writers_at_once_get_numbers_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "cache")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda _: fc.claim_shard(spark, path, "t", "m"), range(8)))
+    assert sorted(numbers) == list(range(8))
+    fc.append_features(cache_rows(spark, ["a"], 1.0), path, "t", "m")
+    assert [r.shard for r in fc.scan_cell(spark, path, "t", "m").collect()] == [8]
+
+
+def test_winners_are_chosen_without_the_arrays(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    twice = cache_rows(spark, ["a"], 1.0).union(cache_rows(spark, ["a"], 4.0)).coalesce(1)
+    fc.append_features(twice, path, "t", "m")
+    newest = fc.latest(fc.scan_cell(spark, path, "t", "m"))
+    assert newest.count() == 1
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftSemi" in plan
+
+
+def test_blocks_of_positions_that_both_models_have(spark):
+    rows = []
+    for pos in range(11):
+        for model in "SA":
+            if (model, pos) in (("S", 3), ("A", 7), ("A", 8)):
+                continue
+            for rank in range(1, 3 + (pos % 2)):
+                rows.append(("p", 0, pos, model, 10 * pos + rank, -0.5 * rank, rank))
+    rows.append(("q", 0, 0, "S", 1, -1.0, 1))  # the other model has nothing
+    blocks = tf.capture_blocks(spark.createDataFrame(rows, TOPK), rows=4)
+    got = {(r.block, r.model): r for r in blocks.collect()}
+    assert sorted(got) == [(0, "A"), (0, "S"), (1, "A"), (1, "S")]
+    assert got[0, "S"].positions == got[0, "A"].positions == [0, 1, 2, 4]
+    assert got[1, "S"].positions == [5, 6, 9, 10]
+    first = got[0, "S"]
+    assert first.k == 3 and len(first.topk_logprobs) == len(first.topk_token_ids) == 12
+    assert first.topk_token_ids == [1, 2, -1, 11, 12, 13, 21, 22, -1, 41, 42, -1]
+    cells = [(r.pos, r.slot) for r in tf.capture_entries(blocks).where("token_id >= 0 and model = 'A'").collect()]
+    assert sorted(cells) == sorted((r[2], r[6] - 1) for r in rows if r[3] == "A" and r[2] != 3)

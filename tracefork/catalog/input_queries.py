@@ -100,9 +100,8 @@ def a4_lines(spark, sf):
 TASK, TAG = "arith", "base"
 
 
-def stored_cache(spark, sf):
+def store_cache(spark, sf, path):
     """Two batches in one cell; the second holds the even problems again, with Delta_path raised by one."""
-    path = fresh_path(spark, "cache")
     traces = durable(I.feature_cache(spark, sf))
     again = traces.where(F.col("pid").cast("bigint") % 2 == 0).withColumn(
         "Delta_path", F.transform("Delta_path", lambda x: x + 1)
@@ -110,6 +109,11 @@ def stored_cache(spark, sf):
     fc.append_features(traces, path, TASK, TAG, batch=0)
     fc.append_features(again, path, TASK, TAG, batch=1)
     fc.append_features(traces, path, TASK, "other", batch=0)
+
+
+def stored_cache(spark, sf):
+    path = fresh_path(spark, "cache")
+    store_cache(spark, sf, path)
     return fc.scan_cell(spark, path, TASK, TAG)
 
 
@@ -151,6 +155,30 @@ def a8_one(spark, sf):
     return hit.select(*TRACE, F.size("J_approx").cast("bigint").alias("length"))
 
 
+_ASKED = [("2", 1), ("0", 0), ("3", 0), ("nobody", 0)]
+
+
+@query(
+    "a8_indexed_lookup",
+    I.with_sql(
+        *I.CACHE,
+        f"""SELECT pid, rollout_idx, CASE WHEN CAST(pid AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS shard,
+        {_SUMS.replace('avg(Delta_path)', 'avg(Delta_path + (CASE WHEN CAST(pid AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END))')}
+        FROM fc WHERE (pid, rollout_idx) IN (('2', 1), ('0', 0), ('3', 0)) GROUP BY pid, rollout_idx""",
+    ),
+)
+def a8_indexed(spark, sf):
+    """Several keys through the key index, of the appended cache and again of the compacted one."""
+    path, index, target, second = (fresh_path(spark, f"indexed-{n}") for n in ("cache", "index", "compacted", "index2"))
+    store_cache(spark, sf, path)
+    fc.refresh_index(spark, path, "arith", "base", index)
+    before = _sums(fc.indexed_lookup(spark, path, index, _ASKED), *TRACE, "shard")
+    fc.compact(spark, path, "arith", "base", target)
+    fc.refresh_index(spark, target, "arith", "base", second)
+    after = _sums(fc.indexed_lookup(spark, target, second, _ASKED), *TRACE, "shard")
+    return before.intersectAll(after)
+
+
 @query("a9_done_keys", I.with_sql(*I.CACHE, "SELECT DISTINCT pid, rollout_idx FROM fc"))
 def a9(spark, sf):
     return fc.done_keys(stored_cache(spark, sf))
@@ -187,6 +215,32 @@ def a11(spark, sf):
     )
 
 
+@query(
+    "a11_aligned_capture",
+    I.with_sql(
+        *I.TOPK,
+        "tg AS (SELECT * FROM tk WHERE NOT (model = 'S' AND pos % 7 = 3) AND NOT (model = 'A' AND pos % 5 = 2))",
+        """al AS (SELECT pid, rollout_idx, pos, row_number() OVER (PARTITION BY pid, rollout_idx ORDER BY pos) - 1 AS n
+        FROM tg GROUP BY pid, rollout_idx, pos HAVING count(DISTINCT model) = 2)""",
+        """sl AS (SELECT tg.*, n // 16 AS block, row_number() OVER (PARTITION BY pid, rollout_idx, model, pos ORDER BY rank) - 1 AS slot
+        FROM tg JOIN al USING (pid, rollout_idx, pos))""",
+        "wd AS (SELECT pid, rollout_idx, model, block, max(slot) + 1 AS k FROM sl GROUP BY ALL)",
+        """SELECT sl.pid, sl.rollout_idx, sl.model, sl.pos, sl.slot, token AS token_id, round(CAST(CAST(logprob AS FLOAT) AS DOUBLE), 4) + 0 AS logprob FROM sl
+        UNION ALL SELECT d.pid, d.rollout_idx, d.model, d.pos, CAST(g.i AS BIGINT), -1, -1000.0::DOUBLE
+        FROM (SELECT pid, rollout_idx, model, pos, block, count(*) AS n FROM sl GROUP BY ALL) d
+        JOIN wd ON wd.pid = d.pid AND wd.rollout_idx = d.rollout_idx AND wd.model = d.model AND wd.block = d.block
+        JOIN range(64) g(i) ON g.i >= d.n AND g.i < wd.k""",
+    ),
+)
+def a11_aligned(spark, sf):
+    """Both models lack some positions; blocks of sixteen, written and read back, then one row per cell."""
+    gaps = I.topk(spark, sf).where("NOT (model = 'S' AND pos % 7 = 3) AND NOT (model = 'A' AND pos % 5 = 2)")
+    path = fresh_path(spark, "capture")
+    fc.save_capture(tf.capture_blocks(gaps, rows=16), path, "arith", "base")
+    cells = tf.capture_entries(fc.load_capture(spark, path, "arith", "base"))
+    return cells.withColumn("logprob", F.round("logprob", 4))
+
+
 @query(
     "a12_logit_windows",
     I.with_sql(

@@ -212,6 +212,55 @@ def capture_topk(topk: DataFrame, temperature: float = TEMPERATURE) -> DataFrame
     )
 
 
+def capture_blocks(topk: DataFrame, temperature: float = TEMPERATURE, rows: int = 256) -> DataFrame:
+    """Raw capture of the positions that both models have, in blocks of at most ``rows`` of them.
+
+    One row for each rollout, block and model: the ``positions``, and row after row the ``k`` entries of each in flat
+    arrays, in the order of their ranks, short rows filled with the floor and -1. Both models' blocks hold the same
+    positions. No row grows with the length of a trace.
+    """
+    entry = F.struct("rank", F.col("token_id").cast("int").alias("token_id"), F.col("logprob").cast("float").alias("logprob"))
+    sides = [F.sort_array(F.collect_list(F.when(F.col("model") == m, entry))).alias(m) for m in "SA"]
+    both = topk.groupBy(*TRACE, "pos").agg(*sides).where((F.size("S") > 0) & (F.size("A") > 0))
+    number = F.row_number().over(W.partitionBy(*TRACE).orderBy("pos")) - 1
+    block = F.floor(number / F.lit(rows)).cast("bigint").alias("block")
+    packed = both.select("*", block).groupBy(*TRACE, "block").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "S", "A"))).alias("r"), *[F.max(F.size(m)).alias(f"k{m}") for m in "SA"]
+    )
+
+    def flat(model: str, field: str, fill: Column) -> Column:
+        width = F.col(f"k{model}")
+        own = lambda x: F.transform(x[model], lambda e: e[field])
+        return F.flatten(F.transform("r", lambda x: F.concat(own(x), F.array_repeat(fill, width - F.size(x[model])))))
+
+    sides = [
+        F.struct(
+            F.lit(m).alias("model"),
+            F.col(f"k{m}").alias("k"),
+            flat(m, "logprob", F.lit(LOG_FLOOR).cast("float")).alias("topk_logprobs"),
+            flat(m, "token_id", F.lit(-1)).alias("topk_token_ids"),
+        )
+        for m in "SA"
+    ]
+    return packed.select(
+        *TRACE, "block", F.transform("r", lambda x: x["pos"]).alias("positions"),
+        F.lit(float(temperature)).alias("T_extracted"), F.explode(F.array(*sides)).alias("m"),
+    ).select(*TRACE, "block", "m.model", "m.k", "positions", "m.topk_logprobs", "m.topk_token_ids", "T_extracted")
+
+
+def capture_entries(blocks: DataFrame) -> DataFrame:
+    """One row for each cell of the captured matrices: ``pos, slot, token_id, logprob``; filled cells have -1."""
+    cells = blocks.select(*TRACE, "model", "k", "positions", F.posexplode(F.arrays_zip("topk_token_ids", "topk_logprobs")).alias("i", "c"))
+    return cells.select(
+        *TRACE,
+        "model",
+        F.get("positions", F.floor(F.col("i") / F.col("k")).cast("int")).alias("pos"),
+        (F.col("i") % F.col("k")).cast("bigint").alias("slot"),
+        F.col("c.topk_token_ids").cast("bigint").alias("token_id"),
+        F.col("c.topk_logprobs").cast("double").alias("logprob"),
+    )
+
+
 # ---- full-vocabulary logits: one row per position, arrays z_s and z_a ----
 
 

@@ -72,6 +72,34 @@ FEATURE_CACHE = T.StructType(
     + [T.StructField(name, T.ArrayType(T.FloatType())) for name in CACHE_ARRAYS]
 )
 
+# Where each row of a cell is stored.
+INDEX = T.StructType(
+    [
+        T.StructField("pid", T.StringType()),
+        T.StructField("rollout_idx", T.LongType()),
+        T.StructField("shard", T.LongType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("row", T.LongType()),
+    ]
+)
+
+# Blocks of raw top-K lists of one model.
+CAPTURE = T.StructType(
+    [
+        T.StructField("pid", T.StringType()),
+        T.StructField("rollout_idx", T.LongType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("k", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.LongType())),
+        T.StructField("topk_logprobs", T.ArrayType(T.FloatType())),
+        T.StructField("topk_token_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("T_extracted", T.DoubleType()),
+        T.StructField("task", T.StringType()),
+        T.StructField("model_tag", T.StringType()),
+    ]
+)
+
 LOGIT_WINDOW = T.StructType(
     [
         T.StructField("detector_id", T.StringType()),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracefork.schemas import CACHE_ARRAYS, FEATURE_CACHE, LOGIT_WINDOW, TRACE
+from tracefork.schemas import CACHE_ARRAYS, CAPTURE, FEATURE_CACHE, INDEX, LOGIT_WINDOW, TRACE
 
 ROWS_PER_FILE = 500
+#: Parquet settings of the cache: bloom filters on the problem.
+BLOOM = {"parquet.bloom.filter.enabled#pid": "true", "parquet.bloom.filter.expected.ndv#pid": str(ROWS_PER_FILE)}
 
 
 def with_cell(traces: DataFrame, task: str, model_tag: str) -> DataFrame:
@@ -28,10 +32,11 @@ def append_features(
 ) -> None:
     """Append a batch in problem order; ``shard`` tells batches apart for later lookups, and the last one wins.
 
-    Without a number the batch comes after all that the cell holds.
+    Without a number the batch takes one of its own after all that the cell holds, also while others append. Files are
+    cut by key range and carry bloom filters of ``pid``, so a lookup skips those that can't hold its key.
     """
     if batch is None:
-        batch = next_shard(traces.sparkSession, path, task, model_tag)
+        batch = claim_shard(traces.sparkSession, path, task, model_tag)
     (
         with_cell(traces, task, model_tag)
         .withColumn("shard", F.lit(batch).cast("bigint"))
@@ -40,10 +45,42 @@ def append_features(
         .write.mode("append")
         .partitionBy("task", "model_tag")
         .option("maxRecordsPerFile", rows_per_file)
+        .options(**BLOOM)
         .parquet(path)
     )
 
 
+def claim_shard(spark: SparkSession, path: str, task: str, model_tag: str) -> int:
+    """A shard number that no other writer gets: the first free one after the cell's last, reserved by a file that only
+    one of several writers can create (its folder's name begins with an underscore, so no reader lists it)."""
+    number = next_shard(spark, path, task, model_tag)
+    while True:
+        if created(spark, f"{path}/_shards/task={task}/model_tag={model_tag}/{number}"):
+            return number
+        number += 1
+
+
+def created(spark: SparkSession, path: str) -> bool:
+    """Whether this call made the file; of several at once one does."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # where Hadoop's own check and creation are two steps
+        local = Path(target.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            local.touch(exist_ok=False)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
@@ -66,10 +103,78 @@ def scan_cell(spark: SparkSession, path: str, task: str, model_tag: str) -> Data
     )
 
 
+def places(cell: DataFrame) -> DataFrame:
+    """Keys of a stored cell with the shard, file and place of each row; no array is read."""
+    return cell.select(*TRACE, "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def latest(cell: DataFrame) -> DataFrame:
-    """One row per rollout: where several batches hold it, the last one wins."""
-    w = W.partitionBy(*TRACE).orderBy(F.col("shard").desc())
-    return cell.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+    """One row per rollout of a stored cell: where several batches hold it, the last one wins; of a batch that holds it
+    twice, the later row.
+
+    Winners are chosen among the keys alone, and only their rows are then kept: arrays are neither sorted nor grouped.
+    """
+    best = F.max(F.struct("shard", "file", "row")).alias("best")
+    won = places(cell).groupBy(*TRACE).agg(best).select(*TRACE, F.col("best.file").alias("_file"), F.col("best.row").alias("_row"))
+    stored = cell.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return stored.join(won, [*TRACE, "_file", "_row"], "left_semi").select(*cell.columns)
+
+
+def refresh_index(spark: SparkSession, path: str, task: str, model_tag: str, index: str) -> None:
+    """Bring the key index (key, shard, file, row) of a cell up to date: only files that it doesn't know are read.
+
+    Entries of files that are gone stay and find nothing; an index of a compacted cache is begun anew.
+    """
+    cell = scan_cell(spark, path, task, model_tag)
+    known = spark.read.schema(INDEX).parquet(index) if path_exists(spark, index) else spark.createDataFrame([], INDEX)
+    seen = known.select("file").distinct()
+    if path_exists(spark, index):
+        names = {r.name for r in seen.select(F.substring_index("file", "/", -1).alias("name")).collect()}  # unique in a cache
+        fresh = [f for f in cell.inputFiles() if f.rsplit("/", 1)[-1] not in names]
+        if not fresh:
+            return
+        cell = spark.read.schema(FEATURE_CACHE).option("basePath", path).parquet(*fresh)
+    rows = places(cell).repartitionByRange(*TRACE).sortWithinPartitions(*TRACE)
+    rows.write.mode("append").options(**BLOOM).parquet(index)
+
+
+def indexed_lookup(spark: SparkSession, path: str, index: str, keys: list[tuple[str, int]]) -> DataFrame:
+    """The last rows of the asked keys, reading only the files that hold them. The driver sees one file name a key."""
+    wanted = spark.createDataFrame(keys, "pid string, rollout_idx long")
+    asked = spark.read.schema(INDEX).parquet(index).where(F.col("pid").isin(sorted({p for p, _ in keys})))
+    best = F.max(F.struct("shard", "file", "row")).alias("best")
+    won = asked.join(F.broadcast(wanted), TRACE, "left_semi").groupBy(*TRACE).agg(best).select(*TRACE, "best.file", "best.row")
+    files = sorted({r.file for r in won.collect()})
+    if not files:
+        return spark.createDataFrame([], FEATURE_CACHE)
+    hit = spark.read.schema(FEATURE_CACHE).option("basePath", path).parquet(*files).where(F.col("pid").isin(sorted({p for p, _ in keys})))
+    placed = hit.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return placed.join(F.broadcast(won), [*TRACE, "file", "row"], "left_semi").select(*hit.columns)
+
+
+def compact(spark: SparkSession, path: str, task: str, model_tag: str, target: str) -> None:
+    """The last row of every rollout of a cell, in key order and with its shard, as a cell of the cache ``target``."""
+    (
+        latest(scan_cell(spark, path, task, model_tag))
+        .repartitionByRange(*TRACE)
+        .sortWithinPartitions(*TRACE)
+        .write.mode("append")
+        .partitionBy("task", "model_tag")
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .options(**BLOOM)
+        .parquet(target)
+    )
+
+
+def save_capture(blocks: DataFrame, path: str, task: str, model_tag: str) -> None:
+    """Raw top-K blocks of a cell, beside the features."""
+    cell = blocks.withColumns({"task": F.lit(task), "model_tag": F.lit(model_tag)})
+    cell.write.mode("append").partitionBy("task", "model_tag").options(**BLOOM).parquet(path)
+
+
+def load_capture(spark: SparkSession, path: str, task: str, model_tag: str) -> DataFrame:
+    stored = spark.read.schema(CAPTURE).parquet(path)
+    return stored.where((F.col("task") == task) & (F.col("model_tag") == model_tag)).drop("task", "model_tag")
 
 
 def lookup(cell: DataFrame, pid: str, rollout_idx: int) -> DataFrame:
