@@ -213,3 +213,19 @@ def test_request_plan_arms_and_draws(spark):
             assert 20 <= r.rand_t <= 512
     assert sorted(full) == sorted(sw.request_plan(cases.repartition(3)).collect())
     assert math.isclose(sum(r.T_local or 0 for r in full), 3 * 4.5)
+
+
+def test_rescue_flags_of_records_equal_those_of_single_outcomes(spark):
+    import random
+
+    from tracefork.operators import sweep as sw
+
+    rng = random.Random(21)
+    names = ["retry", "rand", "geo_pred", "geo_wrong", "local_temp_1p0", "local_temp_2p0", "dense"]
+    rows = [(f"p{i % 9}", i, *[rng.choice([True, False, False, False, None]) for _ in names]) for i in range(30)]
+    rows.append(("none", 99, *[None] * len(names)))
+    records = spark.createDataFrame(rows, "pid string, k long, " + ", ".join(f"{n} boolean" for n in names))
+    single = records.unpivot(["pid", "k"], names, "condition", "correct")
+    wide = sw.rescue_flags_of_records(records, {n: records[n] for n in names})
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(wide) == key(sw.rescue_flags(single).select(*wide.columns))

@@ -373,6 +373,14 @@ def all_outcomes(spark: SparkSession, sf_dir: str, numbered: bool = True) -> Dat
     )
 
 
+def case_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The lines as cases, and the verdict of each condition on a line; dense is null where nothing fired."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("pid", F.col("l_orderkey").cast("string"))
+    verdicts = {c: F.expr(CONDITION_RULES[c]) for c in SWEPT}
+    verdicts["dense"] = F.when(F.col("l_quantity") > 25, F.expr(CONDITION_RULES["dense"]))
+    return rows, verdicts
+
+
 SWEEP = [
     """ln0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS pid, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, * FROM lineitem)""",

@@ -242,6 +242,33 @@ def j16(spark, sf):
     return pick(rt.route_records(records).withColumnRenamed("pid", "problem_id"), ["problem_id", "operator"], ZS)
 
 
+_PAIRS = [("a", "a"), ("b", "b"), ("c", "c"), ("a", "b"), ("a", "c"), ("b", "c")]
+_COV = ", ".join(f"covar_samp({x}, {y}) AS {x}{y}" for x, y in _PAIRS)
+
+
+@query(
+    "j17_principal_variances",
+    I.with_sql(
+        *I.PROFILES,
+        f"zp AS ({z_sql('pf')})",
+        f"zn AS (SELECT {', '.join(f'{z} AS {n}' for z, n in zip(ZS, 'abc'))} FROM zp)",
+        f"cv AS (SELECT {_COV} FROM zn)",
+        # Eigenvalues of a symmetric 3 x 3 matrix in closed form.
+        "q1 AS (SELECT *, (aa + bb + cc) / 3 AS q FROM cv)",
+        "q2 AS (SELECT *, sqrt(((aa - q) ^ 2 + (bb - q) ^ 2 + (cc - q) ^ 2 + 2 * (ab ^ 2 + ac ^ 2 + bc ^ 2)) / 6) AS p FROM q1)",
+        """q3 AS (SELECT *, acos(greatest(-1, least(1, ((aa - q) * ((bb - q) * (cc - q) - bc * bc) - ab * (ab * (cc - q) - bc * ac)
+            + ac * (ab * bc - (bb - q) * ac)) / (2 * p ^ 3)))) / 3 AS phi FROM q2)""",
+        "q4 AS (SELECT q, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM q3)",
+        f"SELECT {s6('v1', 'e1')}, {s6('v2', '3 * q - e1 - e3')}, {s6('between', '0.0::DOUBLE')} FROM q4",
+    ),
+)
+def j17_variances(spark, sf):
+    """Variances along the two axes, whatever their signs, and that nothing varies together."""
+    plane = rp.principal_plane(rt.zscore(I.profiles(spark, sf), FEATS), FEATS)
+    found = plane.agg(F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"), F.abs(F.covar_samp("pc1", "pc2")).alias("between"))
+    return pick(found, [], ["v1", "v2", "between"])
+
+
 @query("j17_principal_plane")
 def j17(spark, sf):
     scored = rt.zscore(I.profiles(spark, sf), FEATS)

@@ -210,7 +210,7 @@ FLAGS = [
 
 
 def flags(spark, sf):
-    return sw.rescue_flags(I.all_outcomes(spark, sf, numbered=False))
+    return sw.rescue_flags_of_records(*I.case_records(spark, sf))
 
 
 @query("h10_regimes", I.with_sql(*FLAGS, "SELECT regime, count(*) AS n FROM rg GROUP BY regime"))
@@ -235,7 +235,8 @@ def h11(spark, sf):
     I.with_sql(*FLAGS, "SELECT CASE WHEN retry THEN 'retry-solvable' ELSE 'hard' END AS recoverability, count(*) AS n FROM fg GROUP BY ALL"),
 )
 def h12(spark, sf):
-    records = sw.rescuer_classes(flags(spark, sf))
+    """From single outcomes, one row per condition."""
+    records = sw.rescuer_classes(sw.rescue_flags(I.all_outcomes(spark, sf, numbered=False)))
     return sw.recoverability(records).groupBy("recoverability").agg(F.count("*").alias("n"))
 
 

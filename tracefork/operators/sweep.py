@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,6 +217,25 @@ def rescue_flags(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def rescue_flags_of_records(records: DataFrame, verdicts: Mapping[str, Column]) -> DataFrame:
+    """``rescue_flags`` from one row per case with every condition's verdict beside the others: nothing is unfolded."""
+    classes = {
+        "retry": ["retry"],
+        "sparse": list(SPARSE),
+        "dense": ["dense"],
+        "local_temp": [c for c in verdicts if c.startswith("local_temp_")],
+    }
+
+    def any_of(names: Sequence[str]) -> Column:
+        hit = F.lit(False)
+        for name in names:
+            if name in verdicts:
+                hit = hit | F.coalesce(verdicts[name], F.lit(False))
+        return F.bool_or(hit)
+
+    return records.groupBy("pid").agg(*[any_of(names).alias(c) for c, names in classes.items()])
+
+
 def regimes(flags: DataFrame) -> DataFrame:
     steered = F.col("sparse") | F.col("dense") | F.col("local_temp")
     return flags.withColumn(
