@@ -10,6 +10,7 @@ from tracefork.functions import arrays as A
 from tracefork.operators import token_features as tf
 from tracefork.plans.numbering import number_within
 from tracefork.schemas import INTERVENTIONS, TRACE
+from tracefork.session import durable
 
 TEMPERATURE = tf.TEMPERATURE
 TOP_K = 20
@@ -238,7 +239,10 @@ RATES = ["retry", *INTERVENTIONS]
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (cell, problem). Lines are aggregated per order before the orders are joined."""
+    """One row per (cell, problem). Lines are aggregated per order before the orders are joined.
+
+    The narrow result is written once, as a profile table would be: routing reads it for its moments and for its rows.
+    """
     lines = table(spark, sf_dir, "lineitem")
     per_order = lines.groupBy("l_orderkey").agg(
         F.count("*").alias("n_failed_rollouts"),
@@ -248,14 +252,17 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.log10(F.greatest(F.var_pop("l_quantity"), F.lit(1e-8))).alias("logit_dispersion"),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cell"))
-    return per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"]).select(
-        "cell",
-        F.col("l_orderkey").cast("string").alias("problem_id"),
-        "n_failed_rollouts",
-        "spread",
-        "concentration",
-        "logit_dispersion",
-        *RATES,
+    joined = per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"])
+    return durable(
+        joined.select(
+            "cell",
+            F.col("l_orderkey").cast("string").alias("problem_id"),
+            "n_failed_rollouts",
+            "spread",
+            "concentration",
+            "logit_dispersion",
+            *RATES,
+        )
     )
 
 
