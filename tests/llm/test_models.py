@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import plain
@@ -63,11 +64,58 @@ def test_marginals_are_exact():
 
 def test_tolerant_reading():
     tree = read("<p>a &amp; b<br>c <b>d<p>e\n f<script>var t='</p>x'</script> g<ul><li>h<li>i</ul> &copy j<div")
-    assert [t for t in tree.text if t] == ["a & b c d", "e f", "g", "h", "i", "© j"]
+    assert [t for t in tree.text if t] == ["a & b c d", "e f g", "h", "i", "© j"]
     assert [t for t in read("<!-- <p>x</p> --><p>1 < 2</p>").text if t] == ["1 < 2"]
     assert read(None).text == [None] and read("").text == [None]
 
 
+def texts_of(page):
+    return [t for t in read(page).text if t]
+
+
+def test_elements_inside_a_line_keep_the_block():
+    for inside in ("<svg><path/></svg>", "<svg/>", "<script>x</script>", "<canvas>x</canvas>", "<img src=x>", "<input>", "<style>x</style>"):
+        assert texts_of(f"<p>Press the {inside} button to go {inside}on</p><p>next</p>") == ["Press the button to go on", "next"]
+    assert texts_of("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be") == ["Let x=2 be"]
+    formula = "<math><semantics><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></semantics></math>"
+    assert texts_of(f"<p>the {formula} here</p>") == ["the x2 here"]
+    assert texts_of("<p>a<hr>b</p>") == ["a", "b"]
+
+
+def test_deep_nesting_takes_linear_time():
+    start = time.perf_counter()
+    deep = 50_000
+    assert texts_of("<div>" * deep + "in" + "</div>" * deep) == ["in"]
+    assert texts_of("<div>" * deep + "</section></i>" * deep + "in") == ["in"]
+    assert texts_of("<li><ul>" + "<div>" * deep + "<li>x</li>" * deep) == ["x"] * deep
+    assert texts_of("<b>" * deep + "in" + "</i>" * deep) == ["in"]
+    assert time.perf_counter() - start < 20
+
+
+def test_pages_without_names_have_their_prose(spark):
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").orderBy("page_id").collect()]
+    model = extraction.train(pages[:100])
+    links = "".join(f'<li><a href="/{i}">Part {i}</a></li>' for i in range(8))
+    prose = "<h1>Of the river</h1>" + "".join(f"<p>Paragraph {i} tells what happened by the river in that year.</p>" for i in range(4))
+    wanted = "\n".join(["Of the river", *(f"Paragraph {i} tells what happened by the river in that year." for i in range(4))])
+    for page in (
+        f"<html><body><ul>{links}</ul>{prose}</body></html>",
+        f"<html><body><div><ul>{links}</ul></div><div>{prose}</div></body></html>",
+        f"<ul>{links}</ul>{prose}<footer><p>Imprint</p></footer>",
+    ):
+        tree = read(page)
+        assert extraction.main_text(tree, model.marginals(extraction.Pages([tree])) > 0.5) == wanted
+
+
+def test_sample_is_of_different_pages(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "SAMPLE_PAGES", 5)
+    rows = [(i, None if i % 7 == 0 else f"<p>{i if i % 3 else 'same'}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").repartition(6)
+    drawn = extraction.labelled_sample(pages)
+    assert len(set(drawn)) == len(drawn) == 5 and drawn == extraction.labelled_sample(pages.repartition(2))
+    assert extraction.labelled_sample(pages.limit(0)) == []
+
+
 def test_raw_elements_after_letters_that_grow_in_lower_case():
     body = "".join(f"<p>{'İ' * 60}</p><{tag}>x İ</{tag.upper()}><p>Text behind a {tag} element.</p>" for tag in sorted(RAW))
     texts = [t for t in read(body).text if t]

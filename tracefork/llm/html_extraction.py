@@ -30,6 +30,8 @@ from tracefork.llm.tables import free_name
 #: Labelled pages: at most so many of the table, none longer than so many bytes, and so many built ones.
 SAMPLE_PAGES, SAMPLE_BYTES, BUILT_PAGES = 300, 60_000, 150
 VARIANTS = 3
+#: Share of the built pages whose article has no name and no landmark around it.
+UNNAMED = 0.15
 FEATURES = 1 << 14
 STEPS, RATE, DECAY = 150, 0.3, 1e-4
 SEED = 11
@@ -63,11 +65,16 @@ PHRASES = {
     "comments": "Great read|I don't agree with this|Reply|3 days ago|Thanks for sharing|First",
 }
 
+#: Marks of the labels, with the attribute's name where nothing else is in it.
+MARKS = re.compile(r"\b(?:class|id) (?:xcontent|xpart)\s*$|\b(?:class|id) (?:xcontent|xpart)\s+(?=(?:class|id)\b)|\b(?:xcontent|xpart)\b")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 #: Elements that say nothing about themselves; they and their text follow what they stand in.
 PLAIN = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dd dt dl table tbody thead tr td th hr #page html head center".split())
+#: Blocks of prose, and the elements that, unnamed, only group others. A page may hold its article in these alone.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+GROUPS = frozenset("#page html body div section center".split())
 #: The feature of nodes without evidence; its weight stays 0.
 NONE = 0
 
@@ -82,15 +89,20 @@ def feature(name: str, cache: dict[str, int] = {}) -> int:  # noqa: B006  (a mem
 
 
 def node_features(tree: Tree) -> list[list[int]]:
-    """Feature numbers of every node: names and tags of elements, and whether most of the text is links."""
+    """Feature numbers of every node: names and tags of elements, whether most of the text is links, and whether a block
+    of prose has nothing but unnamed groups around it."""
     n = len(tree.tag)
     chars, linked = [len(t) if t else 0 for t in tree.text], list(tree.linked)
     for i in range(n - 1, 0, -1):
         chars[tree.parent[i]] += chars[i]
         linked[tree.parent[i]] += linked[i]
-    out = []
+    out, unnamed = [], [False] * n
     for i in range(n):
         own = [NONE]
+        around = i == 0 or unnamed[tree.parent[i]]
+        unnamed[i] = around and tree.tag[i] in GROUPS and not tree.attributes[i]
+        if around and tree.tag[i] in PROSE and not tree.attributes[i]:
+            own.append(feature("unnamed prose"))
         mostly = linked[i] * 2 > chars[i]
         if tree.text[i] is not None:
             if mostly:
@@ -198,7 +210,7 @@ def landmark_labels(tree: Tree) -> np.ndarray | None:
 
 def without_marks(tree: Tree) -> Tree:
     """The tree as an unlabelled page would have it."""
-    said = [a.replace("xcontent", "").replace("xpart", "").strip() if "x" in a else a for a in tree.attributes]
+    said = [MARKS.sub("", a).strip() if "x" in a else a for a in tree.attributes]
     return Tree(tree.parent, tree.tag, said, tree.text, tree.linked)
 
 
@@ -237,10 +249,18 @@ def built_page(rng: random.Random, prose: list[str]) -> str:
             body.append(built_part(rng, rng.choice(["advert", "sidebar", "form", "notice"]), prose))
     if rng.random() < 0.25:
         body.append(built_part(rng, "comments", prose))
+    bare = rng.random() < UNNAMED
     before = [built_part(rng, k, prose) for k in ("notice", "header", "menu", "advert") if rng.random() < 0.6]
     after = [built_part(rng, k, prose) for k in ("sidebar", "comments", "form", "advert", "footer") if rng.random() < 0.6]
+    if bare:
+        if rng.random() < 0.6:  # a list of links that only its links tell from the article
+            entries = (f'<li><a href="#">{html.escape(x)}</a></li>' for x in rng.sample(PHRASES["menu"].split("|"), rng.randint(3, 8)))
+            before.append(f'<ul class="xpart">{"".join(entries)}</ul>')
+        if rng.random() < 0.5:
+            return f'<html><body class="xcontent">{"".join(before)}{"".join(body)}{"".join(after)}</body></html>'
+        tag, marks = "div", 'class="xcontent"'
     article = f"<{tag} {marks}>{''.join(body)}</{tag}>"
-    if rng.random() < 0.3:
+    if not bare and rng.random() < 0.3:
         article = f'<div class="{rng.choice(["wrapper", "container", "page", "layout", "row"])}">{article}</div>'
     return f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>"
 
@@ -278,9 +298,16 @@ def main_text(tree: Tree, content: np.ndarray) -> str:
 
 
 def labelled_sample(pages: DataFrame) -> list[str]:
-    """The bounded sample, the same in every run."""
-    able = pages.where(F.octet_length("html") <= SAMPLE_BYTES)
-    return [r.html for r in able.orderBy(F.xxhash64("html"), "html").select("html").limit(SAMPLE_PAGES).collect()]
+    """The bounded sample, the same in every run: the different pages with the smallest hashes.
+
+    Hashes alone are ordered; only the pages of the sample leave their tasks.
+    """
+    able = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("html", F.xxhash64("html").alias("hash"))
+    last = able.select("hash").distinct().orderBy("hash").limit(SAMPLE_PAGES).agg(F.max("hash")).head()[0]
+    if last is None:
+        return []
+    drawn = able.where(F.col("hash") <= last).groupBy("hash").agg(F.min("html").alias("html"))
+    return [r.html for r in drawn.orderBy("hash").collect()]
 
 
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:

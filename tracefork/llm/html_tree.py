@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-#: Fixed values of HTML: elements without content, elements whose content is not markup, and inline elements.
+#: Fixed values of HTML: elements without content, of these the ones that end a block, elements whose content is left
+#: out, and inline elements with those of MathML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select canvas audio video".split())
+BREAKING = frozenset("col hr".split())
+RAW = frozenset(
+    "script style noscript template textarea title iframe object svg select canvas audio video annotation annotation-xml".split()
+)
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var acronym nobr wbr".split()
+    "time tt u var acronym nobr wbr picture ruby rb rt rp rtc "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
+    "mprescripts mtable mtr mtd mstyle mpadded mphantom merror menclose mfenced".split()
 )
 #: An opening element closes these open ones, looking up no further than the stops.
 CLOSES = {
@@ -46,10 +53,15 @@ class Tree:
 
 
 def read(page: str | None) -> Tree:
-    """The tree of a page. Unclosed and stray tags are put up with; an unfinished last tag is dropped."""
+    """The tree of a page. Unclosed and stray tags are put up with; an unfinished last tag is dropped.
+
+    Elements that stand inside a line (inline ones, pictures, and those whose content is left out) don't end a block. The
+    open places of each tag are kept, so a tag costs the same at any depth of nesting.
+    """
     tree = Tree([-1], ["#page"], [""], [None], [0])
     open_: list[int] = [0]  # open block elements
-    inline: list[str] = []  # open inline elements
+    places: dict[str, list[int]] = {}  # of each tag, its places in ``open_``
+    linking = 0  # open links of the block
     parts: list[str] = []
     links: list[str] = []
 
@@ -69,15 +81,21 @@ def read(page: str | None) -> Tree:
             parts.clear()
             links.clear()
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(upto: int) -> None:
+        nonlocal linking
         flush()
+        for node in open_[upto:]:
+            places[tree.tag[node]].pop()
         del open_[upto:]
-        inline.clear()
+        linking = 0
 
     def put(piece: str) -> None:
         if piece:
             parts.append(piece)
-            if "a" in inline:
+            if linking:
                 links.append(piece)
 
     page = page or ""
@@ -91,15 +109,12 @@ def read(page: str | None) -> Tree:
             continue
         if found[1] or found[4]:  # closing
             if tag in INLINE:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag)]
-                continue
-            place = next((i for i in range(len(open_) - 1, 0, -1) if tree.tag[open_[i]] == tag), 0)
-            if place:
+                if tag == "a" and linking:
+                    linking -= 1
+            elif place := innermost((tag,)):
                 close(place)
             continue
         if tag in RAW:
-            flush()
             if not attributes.endswith("/"):
                 end = RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
@@ -108,27 +123,25 @@ def read(page: str | None) -> Tree:
             put(" ")
             continue
         if tag in INLINE:
-            if not attributes.endswith("/"):
-                inline.append(tag)
+            if tag == "a" and not attributes.endswith("/"):
+                linking += 1
+            continue
+        if tag in VOID:
+            if tag in BREAKING:
+                flush()
             continue
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if tree.tag[open_[i]] in stops:
-                    break
-                if tree.tag[open_[i]] in ends:
-                    close(i)
-                    break
-        elif tag not in VOID:
-            place = next((i for i in range(len(open_) - 1, 0, -1) if tree.tag[open_[i]] == "p"), 0)
-            if place and place == len(open_) - 1:
+            if (place := innermost(ends)) > innermost(stops):
                 close(place)
+        elif tree.tag[open_[-1]] == "p":
+            close(len(open_) - 1)
         flush()
-        if tag not in VOID:
-            said = " ".join(" ".join(filter(None, a.groups())) for a in ATTRIBUTE.finditer(attributes)) if attributes.strip() else ""
-            node = add(tag, html.unescape(said), None)
-            open_.append(node)
-            inline.clear()
+        said = " ".join(" ".join(filter(None, a.groups())) for a in ATTRIBUTE.finditer(attributes)) if attributes.strip() else ""
+        node = add(tag, html.unescape(said), None)
+        places.setdefault(tag, []).append(len(open_))
+        open_.append(node)
+        linking = 0
     put(page[at:])
     flush()
     return tree
