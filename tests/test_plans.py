@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefork.plans.numbering import number_within
-from tracefork.plans.quantiles import exact_quantile
+from tracefork.plans.quantiles import exact_quantile, narrowed
 from tracefork.plans.skew import salted_join
 from tracefork.session import durable, fresh_path, shared_dir, small_side
 
@@ -21,18 +21,47 @@ def groups():
     return out
 
 
-@pytest.mark.parametrize("max_ranked,bins", [(1_000_000, 4096), (5, 16)])
+@pytest.mark.parametrize("max_ranked,sample", [(1_000_000, 4096), (5, 16)])
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 0.99, 1.0])
-def test_exact_quantile_equals_numpy(spark, max_ranked, bins, q):
+def test_exact_quantile_equals_numpy(spark, max_ranked, sample, q):
     data = groups()
     rows = [(k, v) for k, vs in data.items() for v in vs] + [("one", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r.quantile for r in exact_quantile(df, ["k"], "v", q, bins, max_ranked).collect()}
+    got = {r.k: r.quantile for r in exact_quantile(df, ["k"], "v", q, sample, max_ranked).collect()}
     assert set(got) == set(data)
     for k, vs in data.items():
         assert got[k] == pytest.approx(np.quantile(vs, q), rel=1e-12), k
 
 
+def far_off():
+    """Values that no equal-width bins take apart: clusters far from each other, many scales, infinite ends."""
+    rng = random.Random(7)
+    near, far = [1.0 + i * 2.0**-52 for i in range(600)], [1e300 + i * 1e285 for i in range(600)]
+    return {
+        "two_clusters": near + far,
+        "uneven": near * 3 + far[:200],
+        "scales": [10.0 ** rng.uniform(-300, 300) * rng.choice([-1, 1]) for _ in range(1500)],
+        "infinite": [-np.inf] * 4 + near + [np.inf] * 3,
+        "small": [3.0, 1.0, 2.0],
+    }
+
+
+@pytest.mark.parametrize("q", [0.25, 0.5, 0.75, 599.5 / 1199])
+def test_narrowing_bounds_every_ranked_group(spark, q):
+    data = far_off()
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
+    pairs = narrowed(df, ["k"], "v", q, 256, 40)
+    assert 2 <= len(pairs) <= 5
+    seen = []
+    for rows, bounds in pairs:
+        own = {r.k: r["count"] for r in rows.join(bounds, "k", "left_semi").groupBy("k").count().collect()}
+        assert own == {r.k: r.left for r in bounds.collect()} and all(n <= 40 for n in own.values())
+        seen += own
+    assert sorted(seen) == sorted(data)
+    got = {r.k: r.quantile for r in exact_quantile(df, ["k"], "v", q, 256, 40).collect()}
+    assert got == {k: pytest.approx(np.quantile(vs, q), rel=1e-12) for k, vs in data.items()}
+
+
 @pytest.mark.parametrize("hot_rows", [0, 100, 10_000])
 def test_numbering_is_dense_and_ordered(spark, hot_rows):
     rng = random.Random(6)

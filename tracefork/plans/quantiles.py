@@ -11,28 +11,48 @@ from pyspark.sql import functions as F
 from tracefork.plans.skew import salted_join
 from tracefork.session import durable
 
-BINS = 4096
+SAMPLE = 4096
+PIVOTS = 63
 MAX_RANKED = 1_000_000
-
-
-def _bin(lo: str, hi: str, bins: int) -> Column:
-    """Equal-width bin of ``value``; increasing in value, 0 where the range is a point."""
-    width = F.col(hi) - F.col(lo)
-    scaled = F.floor(F.when(width > 0, (F.col("value") - F.col(lo)) / width * bins).otherwise(F.lit(0.0)))
-    return F.least(scaled, F.lit(bins - 1)).cast("bigint")
+GRAIN = 1 << 30
 
 
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, bins: int = BINS, max_ranked: int = MAX_RANKED
+    df: DataFrame, keys: Sequence[str], value: str, q: float, sample: int = SAMPLE, max_ranked: int = MAX_RANKED
 ) -> DataFrame:
     """``(keys, quantile)`` as ``numpy.quantile`` gives it; null values are ignored.
 
-    Equal values are first counted together (map-side) and the counts written once. While some group has
-    more than ``max_ranked`` distinct values left, every group's range is cut into bins, the bins holding
-    the two wanted order statistics are found from the bin counts, and only their values are kept. The
-    final ranking is a sorted, spillable window; no step gathers a group in memory.
+    Equal values are first counted together (map-side) and the counts written once. Groups of more than ``max_ranked``
+    distinct values are narrowed before they are ranked. The final ranking is a sorted, spillable window; no step gathers
+    a group in memory.
     """
     keys = list(keys)
+    upto = W.partitionBy(*keys).orderBy("value")
+    told = [salted_join(rows, bounds, keys, ["value"]) for rows, bounds in narrowed(df, keys, value, q, sample, max_ranked)]
+    every = told[0]
+    for more in told[1:]:
+        every = every.unionByName(more)
+    ranked = every.withColumn("cum", F.sum("n").over(upto) + F.col("skipped"))
+
+    def order_stat(r: str) -> Column:
+        return F.min(F.when(F.col("cum") > F.col(r), F.col("value")))
+
+    return (
+        ranked.groupBy(*keys)
+        .agg(order_stat("r0").alias("v0"), order_stat("r1").alias("v1"), F.first("frac").alias("frac"))
+        .select(*keys, (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("quantile"))
+    )
+
+
+def narrowed(
+    df: DataFrame, keys: list[str], value: str, q: float, sample: int = SAMPLE, max_ranked: int = MAX_RANKED
+) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of (keys, value, n) and (keys, r0, r1, frac, skipped, left): together, each group stands in one pair's bounds.
+
+    ``r0`` and ``r1`` are the 0-based ranks of the two wanted order statistics, ``skipped`` the rows below the values that
+    are left. Rows of groups that a pair's bounds don't name are not of that pair. A group has at most ``max_ranked``
+    distinct values left (two where that is less).
+    """
     counts = durable(
         df.select(*keys, F.col(value).cast("double").alias("value"))
         .where(F.col("value").isNotNull())
@@ -42,16 +62,9 @@ def exact_quantile(
     at = (F.col("total") - 1) * F.lit(float(q))
     bounds = durable(
         counts.groupBy(*keys)
-        .agg(
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-            F.sum("n").alias("total"),
-            F.count("*").alias("left"),
-        )
+        .agg(F.sum("n").alias("total"), F.count("*").alias("left"))
         .select(
             *keys,
-            "lo",
-            "hi",
             F.floor(at).cast("bigint").alias("r0"),
             F.least(F.floor(at) + 1, F.col("total") - 1).cast("bigint").alias("r1"),
             (at - F.floor(at)).alias("frac"),
@@ -59,60 +72,61 @@ def exact_quantile(
             "left",
         )
     )
-    remaining = counts
-    most = None
-    while True:
-        wide = bounds.where((F.col("left") > max_ranked) & (F.col("lo") < F.col("hi")))
-        left = wide.agg(F.sum("left")).head()[0]
-        if left is None or left == most:  # narrow enough, or two far-off clusters that bins no longer take apart
-            break
-        most = left
-        remaining, bounds = _narrow(remaining, bounds, keys, bins)
-    upto = W.partitionBy(*keys).orderBy("value")
-    ranked = salted_join(
-        remaining, bounds.select(*keys, "r0", "r1", "frac", "skipped"), keys, ["value"]
-    ).withColumn("cum", F.sum("n").over(upto) + F.col("skipped"))
+    rows, pairs, most = counts, [], max(max_ranked, 2)
+    while not (wide := bounds.where(F.col("left") > most)).isEmpty():
+        pairs.append((rows, bounds.where(F.col("left") <= most)))
+        rows, bounds = _narrow(rows, wide, keys, sample, len(pairs))
+    return [*pairs, (rows, bounds)]
 
-    def order_stat(r: str) -> Column:
-        return F.min(F.when(F.col("cum") > F.col(r), F.col("value")))
 
-    return (
-        ranked.groupBy(*keys)
-        .agg(order_stat("r0").alias("v0"), order_stat("r1").alias("v1"), F.first("frac").alias("frac"))
-        .select(*keys, (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("quantile"))
-    )
+def _narrow(rows: DataFrame, wide: DataFrame, keys: list[str], sample: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Of the groups in ``wide``, the values between the two pivots around the wanted ranks; both results are written once.
 
-
-def _narrow(rows: DataFrame, bounds: DataFrame, keys: list[str], bins: int) -> tuple[DataFrame, DataFrame]:
-    """Keep the values of the bins that hold the wanted ranks; both results are written once."""
-    binned = salted_join(rows, bounds, keys, ["value"]).withColumn("bin", _bin("lo", "hi", bins))
-    hist = binned.groupBy(*keys, "bin").agg(
-        F.sum("n").alias("n"),
-        F.count("*").alias("left"),
-        F.min("value").alias("b_lo"),
-        F.max("value").alias("b_hi"),
-        *[F.first(c).alias(c) for c in ("r0", "r1", "frac", "skipped")],
+    Pivots stand at even distances in a hash sample of a group's distinct values, about ``sample`` of them, so a turn
+    leaves about one value in ``PIVOTS`` however the values lie. Where the two ranks fall on both sides of a pivot, they
+    are the last value below it and the first one above, and nothing else is left.
+    """
+    chance = F.pmod(F.xxhash64(F.lit(turn), "value"), F.lit(GRAIN)) < F.lit(float(GRAIN) * sample) / F.col("left")
+    drawn = salted_join(rows, wide.select(*keys, "left"), keys, ["value"]).where(chance)
+    at = lambda i: F.floor(i * F.size("drawn") / F.lit(PIVOTS + 1)).cast("int")
+    spaced = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(PIVOTS)), lambda i: F.get("drawn", at(i))))
+    pivots = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("drawn")).select(*keys, spaced.alias("pivots"))
+    told = durable(wide.join(pivots, keys, "left"))
+    bin_ = F.coalesce(F.size(F.filter("pivots", lambda p: p <= F.col("value"))), F.lit(0))
+    hist = (
+        salted_join(rows, told.select(*keys, "pivots"), keys, ["value"])
+        .select(*keys, bin_.alias("bin"), "value", "n")
+        .groupBy(*keys, "bin")
+        .agg(
+            F.sum("n").alias("rows"),
+            F.count("*").alias("values"),
+            F.min("value").alias("low"),
+            F.max(F.struct("value", "n")).alias("high"),
+        )
     )
     upto = W.partitionBy(*keys).orderBy("bin")
-    cum = hist.withColumn("cum", F.sum("n").over(upto) + F.col("skipped"))
-    # Ranks are 0-based: a bin covers [cum - n, cum).
-    holds = [(F.col("cum") > F.col(r)) & (F.col("cum") - F.col("n") <= F.col(r)) for r in ("r0", "r1")]
-    kept = durable(cum.where(holds[0] | holds[1]))
-    narrowed = durable(
-        binned.select(*keys, "value", "n", "bin")
-        .join(kept.select(*keys, "bin"), [*keys, "bin"], "left_semi")
-        .drop("bin")
+    cum = hist.withColumn("cum", F.sum("rows").over(upto)).join(told.select(*keys, "r0", "r1", "frac", "skipped"), keys)
+    below = F.col("cum") - F.col("rows") + F.col("skipped")
+    holds = [(F.col("cum") + F.col("skipped") > F.col(r)) & (below <= F.col(r)) for r in ("r0", "r1")]
+    first, last = F.min(F.struct("bin", "low", "high", below.alias("below"), "rows", "values")), F.max(F.struct("bin", "low", "high"))
+    ends = (
+        cum.where(holds[0] | holds[1])
+        .groupBy(*keys)
+        .agg(first.alias("a"), last.alias("b"), *[F.first(c).alias(c) for c in ("r0", "r1", "frac")])
     )
-    # The two wanted ranks are neighbours, so between two kept bins there is no other value.
+    one = F.col("a.bin") == F.col("b.bin")
     next_bounds = durable(
-        kept.groupBy(*keys).agg(
-            F.min("b_lo").alias("lo"),
-            F.max("b_hi").alias("hi"),
-            F.first("r0").alias("r0"),
-            F.first("r1").alias("r1"),
-            F.first("frac").alias("frac"),
-            F.min(F.col("cum") - F.col("n")).alias("skipped"),
-            F.sum("left").alias("left"),
+        ends.select(
+            *keys,
+            "r0",
+            "r1",
+            "frac",
+            F.when(one, F.col("a.below")).otherwise(F.col("a.below") + F.col("a.rows") - F.col("a.high.n")).alias("skipped"),
+            F.when(one, F.col("a.values")).otherwise(F.lit(2)).cast("bigint").alias("left"),
+            F.when(one, F.col("a.low")).otherwise(F.col("a.high.value")).alias("low"),
+            F.when(one, F.col("b.high.value")).otherwise(F.col("b.low")).alias("high"),
         )
     )
-    return narrowed, next_bounds
+    inside = salted_join(rows, next_bounds.select(*keys, "low", "high"), keys, ["value"])
+    left = durable(inside.where(F.col("value").between(F.col("low"), F.col("high"))).select(*keys, "value", "n"))
+    return left, next_bounds.drop("low", "high")
