@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracefork.plans.numbering import number_within
 from tracefork.plans.quantiles import exact_quantile, narrowed
-from tracefork.plans.skew import salted_join
+from tracefork.plans.skew import dealt, hot_join, hot_keys, salted_join
 from tracefork.session import durable, fresh_path, shared_dir, small_side
 
 
@@ -87,6 +87,38 @@ def test_salted_join_equals_plain_join(spark, how):
     )
 
 
+def uneven_rows(spark, n=20_000):
+    """One key with 30 % of the rows, one of 10 % that is null, the rest over 400 keys."""
+    key = "CASE WHEN id % 10 < 3 THEN 'hot' WHEN id % 10 = 3 THEN NULL ELSE 'k' || (id % 401) END"
+    return spark.range(n).selectExpr("id", f"{key} AS k", "id % 7 AS g")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("keys", [["k"], ["k", "g"]])
+@pytest.mark.parametrize("hot_rows", [100, 1_000_000])
+def test_hot_join_equals_plain_join(spark, how, keys, hot_rows):
+    big = uneven_rows(spark, 5000)
+    small = big.where("k IS NULL OR k <> 'k3'").groupBy(*keys).agg(F.min("id").alias("low"))
+    joined, plain = hot_join(big, small, keys, ["id"], how, hot_rows), big.join(small, keys, how)
+    assert sorted(joined.columns) == sorted(plain.columns)
+    rows = lambda d: sorted(map(tuple, d.select(sorted(plain.columns)).collect()), key=str)
+    assert rows(joined) == rows(plain)
+
+
+def test_only_hot_keys_are_cut(spark):
+    big = uneven_rows(spark)
+    hot = hot_keys(big, ["k"], 500)
+    assert hot.count() == 2 and hot_keys(big, ["k"], 1_000_000) is None
+    assert hot_keys(big.limit(0), ["k"], 1) is None
+    pieces = {(r.k, r._salt): r["count"] for r in dealt(big, ["k"], ["id"], hot).groupBy("k", "_salt").count().collect()}
+    assert {k for k, salt in pieces if salt} == {"hot", None}
+    assert max(pieces.values()) <= 650 and sum(pieces.values()) == 20_000
+    # Partitions of the join: the longest within three times the median, against the whole hot key without salts.
+    per_task = lambda d, *by: sorted(r["count"] for r in d.repartition(12, *by).groupBy(F.spark_partition_id()).count().collect())
+    salted, plain = per_task(dealt(big, ["k"], ["id"], hot), "k", "_salt"), per_task(big, "k")
+    assert plain[-1] > 3 * plain[len(plain) // 2] and salted[-1] <= 3 * salted[len(salted) // 2]
+
+
 class Unnamed:
     """A session without ``spark.checkpoint.dir``; its context may or may not name a folder."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracefork.functions import arrays as A
 from tracefork.operators.selection import one_per_key
-from tracefork.plans.skew import salted_join
+from tracefork.plans.skew import hot_join
 from tracefork.schemas import TRACE
 
 # Fixed values of the operators.
@@ -224,12 +224,12 @@ def with_seen(steps: DataFrame, sequences: DataFrame, prompts: DataFrame | None
     by the model's context.
     """
     none = F.array().cast("array<bigint>")
-    out = salted_join(steps, sequences.select(*TRACE, F.col("output_ids").cast("array<bigint>").alias("_own")), TRACE, ["t"], "left")
+    out = hot_join(steps, sequences.select(*TRACE, F.col("output_ids").cast("array<bigint>").alias("_own")), TRACE, ["t"], "left")
     own = F.when(F.col("t") > 0, F.slice(F.coalesce("_own", none), F.lit(1), F.col("t").cast("int"))).otherwise(none)
     if prompts is None:
         return out.withColumn("seen", F.array_distinct(own)).drop("_own")
     ids = prompts.select("pid", F.col("prompt_ids").cast("array<bigint>").alias("_prompt"))
-    out = salted_join(out, one_per_key(ids, ["pid"]), ["pid"], ["rollout_idx", "t"], "left")
+    out = hot_join(out, one_per_key(ids, ["pid"]), ["pid"], ["rollout_idx", "t"], "left", counted=steps)
     return out.withColumn("seen", F.array_distinct(F.concat(F.coalesce("_prompt", none), own))).drop("_own", "_prompt")
 
 
@@ -258,7 +258,7 @@ def inject(
     """
     if inject_top_k is not None:
         raise ValueError("inject_top_k is not supported at the injected position; use min-p or top-p")
-    rows = salted_join(pairs, junctions.select(*TRACE, "t_start"), TRACE, ["t"], "left")
+    rows = hot_join(pairs, junctions.select(*TRACE, "t_start"), TRACE, ["t"], "left")
     inside = F.coalesce(in_window(F.col("t"), F.col("t_start"), width), F.lit(False))
     scale = 1.0 if sampling or temperature <= 0 else float(temperature)
     z_s = F.transform("z_s", lambda x: x / F.lit(scale)) if scale != 1.0 else F.col("z_s")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracefork.functions.answers import CorrectnessColumn
-from tracefork.plans.skew import salted_join
+from tracefork.plans.skew import hot_join
 from tracefork.schemas import TRACE
 
 
@@ -45,7 +45,7 @@ def mark_correct(rollouts: DataFrame, problems: DataFrame, check: CorrectnessCol
     line = [c for c in problems.columns if c == LINE]
     gold = one_per_key(problems.select("problem_id", gold.alias("gold"), *line), ["problem_id"])
     return (
-        salted_join(rollouts, gold, ["problem_id"], ["rollout_idx"], "left")
+        hot_join(rollouts, gold, ["problem_id"], ["rollout_idx"], "left")
         .withColumn(
             "ok",
             F.when(F.col("is_correct").isNotNull(), F.col("is_correct")).otherwise(
@@ -83,7 +83,7 @@ def token_source(rollouts: DataFrame) -> DataFrame:
 
 def with_prompt(rollouts: DataFrame, prompts: DataFrame) -> DataFrame:
     """Keep rollouts whose problem has a prompt."""
-    return salted_join(rollouts, prompts.select("pid"), ["pid"], ["rollout_idx"], "left_semi")
+    return hot_join(rollouts, prompts.select("pid"), ["pid"], ["rollout_idx"], "left_semi")
 
 
 def not_cached(rollouts: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
@@ -94,7 +94,7 @@ def not_cached(rollouts: DataFrame, done: DataFrame, force: bool = False) -> Dat
 def build_sequences(rollouts: DataFrame, prompts: DataFrame) -> DataFrame:
     """``full_ids`` = prompt then output, with ``prompt_len``."""
     one = one_per_key(prompts.select("pid", "prompt_ids"), ["pid"])
-    return salted_join(rollouts, one, ["pid"], ["rollout_idx"]).select(
+    return hot_join(rollouts, one, ["pid"], ["rollout_idx"]).select(
         *TRACE,
         "output_ids",
         F.size("prompt_ids").cast("bigint").alias("prompt_len"),
