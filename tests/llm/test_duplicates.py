@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import plain
 import pytest
 
@@ -48,8 +49,6 @@ def test_components_of_edited_copies(spark, monkeypatch, size):
 
 
 def test_every_allocation_finds_every_similar_pair():
-    import numpy as np
-
     rng = np.random.default_rng(5)
     for n in (4, 5, 9, 20, 50, 83, 84, 100, 215, 300, 900):
         for _ in range(20):
@@ -67,8 +66,6 @@ def test_every_allocation_finds_every_similar_pair():
 
 
 def test_deletion_neighbourhoods_meet_at_one_difference(monkeypatch):
-    import numpy as np
-
     monkeypatch.setattr(ngram_join, "allocation", lambda band: ("deletion", 2))
     rng = np.random.default_rng(1)
     r = np.unique(rng.integers(1, 2**64, 40, dtype=np.uint64))
@@ -116,6 +113,16 @@ def test_removed_bytes_of_small_alphabets(spark, monkeypatch, sizes):
         assert (got[i].text or "") == kept.decode(errors="ignore")
 
 
+@pytest.mark.parametrize("step", [1, 11, 13, 1 << 20])
+def test_ids_in_even_steps_use_all_parts(spark, step):
+    ids = spark.range(0, 5000 * step, step).selectExpr("id - 7 AS id")
+    rows = ids.select("id", suffix_dedup.part_column("id", 11 * 13).alias("part")).collect()
+    parts = suffix_dedup.part_of(np.array([r.id for r in rows]), 11 * 13)
+    assert parts.tolist() == [r.part for r in rows]
+    counts = np.bincount(parts, minlength=11 * 13)
+    assert counts.min() > 10 and counts.max() < 70
+
+
 def test_odd_documents_dedup(spark):
     out = suffix_dedup.remove_repeats(plain.odd(spark))
     assert out.columns == ["doc_id", "text", "size", "_ID", "n_bytes", "n_removed", "n_spans", "kept_sha256"]

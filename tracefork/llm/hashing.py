@@ -16,6 +16,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Fixed values of xxHash64: its five primes.
+P1, P2, P3, P4, P5 = (
+    np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def id_hashes(ids: np.ndarray) -> np.ndarray:
+    """What ``xxhash64`` of Spark gives for a bigint column."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    with np.errstate(over="ignore"):
+        h = turned(np.asarray(ids, np.int64).view(np.uint64) * P2, 31) * P1 ^ (P5 + np.uint64(42 + 8))
+        h = turned(h, 27) * P1 + P4
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts in one array with 8 spare bytes behind them, and the borders between them."""
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
