@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracefork.operators import background as bg
 from tracefork.operators import sweep as sw
@@ -229,3 +230,19 @@ def test_rescue_flags_of_records_equal_those_of_single_outcomes(spark):
     wide = sw.rescue_flags_of_records(records, {n: records[n] for n in names})
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(wide) == key(sw.rescue_flags(single).select(*wide.columns))
+
+
+def test_rescued_at_any_k_moves_one_row_per_problem(spark):
+    rows = [
+        ("a", 1, "retry", False), ("a", 2, "retry", True), ("a", 2, "retry", None), ("a", 1, "rand", None),
+        ("a", 1, "dense", False), ("a", 1, "own arm", True), ("a", 2, "own arm", False), ("a", 1, "other arm", None),
+        ("a", 1, None, False), (None, 1, "retry", True), (None, 1, None, None), ("b", 1, "local_temp_2p0", True),
+    ]
+    df = spark.createDataFrame(rows, "pid string, k bigint, condition string, correct boolean")
+    got = sw.rescued_any_k(df)
+    plain = df.groupBy("pid", "condition").agg(F.bool_or("correct").alias("rescued"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert got.dtypes == plain.dtypes
+    got.collect()
+    told = got._jdf.queryExecution().executedPlan().toString()
+    assert "condition#" not in told.split("hashpartitioning(", 1)[1].split(")")[0]

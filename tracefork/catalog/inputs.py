@@ -375,7 +375,8 @@ def all_outcomes(spark: SparkSession, sf_dir: str, numbered: bool = True) -> Dat
     else:
         cases, key = table(spark, sf_dir, "lineitem").withColumn("pid", F.col("l_orderkey").cast("string")), ["pid"]
     return (
-        cases.select(*key, F.explode(F.array_compact(F.array(*arms, dense))).alias("a"))
+        cases.select(*key, F.explode(F.array(*arms, dense)).alias("a"))
+        .where(F.col("a").isNotNull())
         .select(*key, "a.condition", "a.correct")
     )
 
