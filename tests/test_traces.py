@@ -246,3 +246,57 @@ def test_rescued_at_any_k_moves_one_row_per_problem(spark):
     got.collect()
     told = got._jdf.queryExecution().executedPlan().toString()
     assert "condition#" not in told.split("hashpartitioning(", 1)[1].split(")")[0]
+
+
+def test_fold_moves_flags_as_bits_and_keeps_every_field(spark):
+    rows = [
+        ("p1", 1, "retry", True, False, None, None, 5),
+        ("p1", 1, "retry", False, None, None, None, 9),  # an attempt twice: each field's own maximum
+        ("p1", 1, "geo_pred", False, True, 40, "path", 7),
+        ("p1", 1, "geo_pred", None, True, 30, "cov", None),
+        ("p1", 1, "other", True, True, 99, "path", 99),
+        ("p2", 1, "rand", None, None, None, None, None),
+        (None, 1, "geo_wrong", False, True, 21, "cov", 3),
+    ]
+    df = spark.createDataFrame(rows, "pid string, k long, condition string, correct boolean, fired boolean, t_hat long, tau_hat string, n_tokens long")
+    fields = ("correct", "n_tokens", "fired", "t_hat", "tau_hat")
+    for conditions in (sw.BASE_CONDITIONS, [*sw.BASE_CONDITIONS, *[f"arm_{i}" for i in range(30)]]):
+        got = sw.fold_results(df, conditions, fields)
+        plain = df.groupBy("pid", "k").agg(
+            *[F.max(F.when(F.col("condition") == c, F.col(f))).alias(f"{c}_{f}") for c in conditions for f in fields]
+        )
+        assert got.columns == plain.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    plan = sw.fold_results(df, sw.BASE_CONDITIONS, fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "max(CASE WHEN (condition#" in plan
+    assert "THEN correct" not in plan.split("Aggregate", 1)[1].split("\n", 1)[0]
+
+
+def test_full_records_number_the_lines_once_and_agree_flat(spark, tmp_path):
+    from tracefork.catalog import inputs, sweep_queries
+
+    rng = random.Random(5)
+    lines = [
+        (o, rng.randrange(1, 9999), rng.randrange(1, 99), n, float(rng.randrange(1, 51)), rng.random())
+        for o in range(40) for n in range(1 + o % 7)
+    ]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines + lines[:9], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sweep_queries.h4_full(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression [pid") >= 4
+    found = {(r.pid, r.k): r for r in got.collect()}
+    assert len(found) == len(lines) + 9
+    outcomes = inputs.outcomes(spark, str(tmp_path)).collect()
+    assert len(outcomes) == 7 * len(found)
+    for o in outcomes:
+        r = found[o.pid, o.k]
+        for f in ("correct", "n_tokens", "fired", "t_hat", "tau_hat"):
+            assert r[f"{o.condition}_{f}"] == o[f]
+        assert r[f"{o.condition}_S_t"] == (o.t_hat / 8 if o.fired else None)
+        assert r[f"{o.condition}_T_local"] == (float(o.condition[11:].replace("p", ".")) if o.condition[:5] == "local" else None)
+    for r in found.values():
+        fired = r.geo_pred_fired
+        assert r.ablations == (5 if fired else 0) and (r.dense_correct is not None) == fired
+        assert r.ablations_right == (sum((r.geo_pred_t_hat + o) % 3 == 0 for o in sw.ABLATION_OFFSETS) if fired else 0)
+        assert (r.lambda_J is None) == (r.k > 3)

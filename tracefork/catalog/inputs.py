@@ -3,6 +3,8 @@ SQL common table expressions for the oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,11 +306,27 @@ def sweep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Cases that one task folds at most, on average: a few hundred bytes each, twice (before and after the merge).
+CASES_A_TASK = 250_000
+
+
+def dealt_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases numbered once, then dealt by (pid, k): what is folded or joined per case moves no further.
+
+    The number of tasks grows with the cases, so that what a task holds does not.
+    """
+    lines = durable(sweep_lines(spark, sf_dir).select("pid", "k", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // CASES_A_TASK))
+    return lines.repartition(tasks, "pid", "k")
+
+
+def attempts(
+    spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, conditions: Sequence[str] = tuple(SWEPT)
+) -> DataFrame:
     """One row per (pid, k, swept condition) with its verdict; dense is a later pass."""
-    arms = F.array(*[F.struct(F.lit(c).alias("condition"), F.expr(CONDITION_RULES[c]).alias("correct")) for c in SWEPT])
+    arms = F.array(*[F.struct(F.lit(c).alias("condition"), F.expr(CONDITION_RULES[c]).alias("correct")) for c in conditions])
     return (
-        sweep_lines(spark, sf_dir)
+        (sweep_lines(spark, sf_dir) if lines is None else lines)
         .select("pid", "k", "l_partkey", "l_suppkey", "l_quantity", F.explode(arms).alias("a"))
         .select(
             "pid",
@@ -334,10 +352,12 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outcomes(
+    spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, conditions: Sequence[str] = tuple(SWEPT)
+) -> DataFrame:
     """What the fire log joined to the attempts gives, worked out on the row."""
     fired = (F.col("condition") != "retry") & (F.col("l_quantity") > 25)
-    return attempts(spark, sf_dir).select(
+    return attempts(spark, sf_dir, lines, conditions).select(
         "pid",
         "k",
         "condition",
@@ -350,9 +370,10 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dense_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_outcomes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """The dense pass: only cases whose prediction fired."""
-    return sweep_lines(spark, sf_dir).where(F.col("l_quantity") > 25).select(
+    lines = sweep_lines(spark, sf_dir) if lines is None else lines
+    return lines.where(F.col("l_quantity") > 25).select(
         "pid",
         "k",
         F.lit("dense").alias("condition"),

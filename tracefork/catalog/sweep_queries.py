@@ -109,22 +109,24 @@ _FULL = ", ".join(f"max({f}) FILTER (condition = '{c}') AS {c}_{f}" for c in _AL
 )
 def h4_full(spark, sf):
     """Every field of every condition, the dense pass, the ablation map and the background's scalars."""
-    outcomes = I.outcomes(spark, sf)
-    temperature = F.when(F.col("condition").startswith("local_temp_"), F.regexp_replace(F.substring("condition", 12, 9), "p", ".").cast("double"))
+    lines = I.dealt_cases(spark, sf)
+    outcomes, predicted = I.outcomes(spark, sf, lines), I.outcomes(spark, sf, lines, ["geo_pred"])
+    temperature = F.lit(None).cast("double")
+    for name, value in sw.local_temp_conditions(["local_temp"]):
+        temperature = F.when(F.col("condition") == name, value).otherwise(temperature)
     score = F.when(F.col("fired"), F.struct((F.col("t_hat") / 8).alias("S_t"), (F.col("t_hat") / 16).alias("J_t")))
     told = outcomes.withColumns(
         {"entropy_sensitive": F.when(F.col("fired"), F.col("t_hat") % 3 == 0), "T_local": temperature, "fire_score": score}
     )
-    lines = I.sweep_lines(spark, sf)
     found = lines.where("k <= 3").select(
         "pid", "k", (F.col("l_quantity") / 4).alias("lambda_J"), (F.col("l_partkey") % 5).alias("w"), F.lit("x").alias("name")
     )
     position = F.col("t_hat") + F.col("offset")
-    tried = sw.ablation_plan(outcomes).join(outcomes.where("condition = 'geo_pred'").select("pid", "k", "t_hat"), ["pid", "k"])
+    tried = sw.ablation_plan(predicted).join(predicted.select("pid", "k", "t_hat"), ["pid", "k"])
     tried = tried.select("pid", "k", "offset", (position % 3 == 0).alias("correct"))
-    records = sw.full_records(told, I.dense_outcomes(spark, sf), tried, found)
-    plain = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in _ALL for f in _RECORD if f not in ("S_t", "J_t")]
-    scores = [F.col(f"{c}.fire_score.{f}").alias(f"{c}_{f}") for c in _ALL for f in ("S_t", "J_t")]
+    records = sw.full_records(told, I.dense_outcomes(spark, sf, lines), tried, found, flat=True)
+    plain = [f"{c}_{f}" for c in _ALL for f in _RECORD if f not in ("S_t", "J_t")]
+    scores = [f"{c}_{f}" for c in _ALL for f in ("S_t", "J_t")]
     return records.select(
         "pid", "k", *plain, *scores,
         *[F.col(f"dense.{f}").alias(f"dense_{f}") for f in ("correct", "n_tokens", "tau_hat")],

@@ -91,20 +91,54 @@ def _of(condition: str, value: str) -> Column:
     return F.max(F.when(F.col("condition") == condition, F.col(value)))
 
 
-def fold_results(outcomes: DataFrame, conditions: Sequence[str], fields: Sequence[str] = ("correct", "fired", "t_hat", "tau_hat")) -> DataFrame:
-    """One record per (pid, k): ``<condition>_<field>`` columns.
+#: Flags that one whole number holds, of two bits each: seen, and seen true.
+FLAGS_A_WORD = 31
+
+
+def _folded(outcomes: DataFrame, conditions: Sequence[str], fields: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """One narrow row per (pid, k), and the columns ``<condition>_<field>`` in terms of it.
 
-    Directions travel as a flag, so that the aggregate keeps to fixed-width buffers and hashes.
+    Flags, directions among them, travel as bits of a few numbers that hold all conditions; the aggregate keeps to
+    fixed-width buffers and hashes.
     """
     coded = outcomes
     if "tau_hat" in fields:
         coded = coded.withColumn("tau_hat", F.col("tau_hat") == "path")
-    folded = coded.groupBy(*CASE).agg(*[_of(c, f).alias(f"{c}_{f}") for c in conditions for f in fields])
-    if "tau_hat" not in fields:
-        return folded
-    return folded.withColumns(
-        {f"{c}_tau_hat": F.when(F.col(f"{c}_tau_hat"), "path").when(~F.col(f"{c}_tau_hat"), "cov") for c in conditions}
+    types = {f.name: f.dataType.typeName() for f in coded.schema}
+    n = len(conditions)
+    flags = [f for f in fields if types[f] == "boolean"] if n <= FLAGS_A_WORD else []
+    a_word = max(1, FLAGS_A_WORD // max(1, n))
+    at = F.lit(None).cast("int")
+    for i, c in enumerate(conditions):
+        at = F.when(F.col("condition") == c, 2 * i).otherwise(at)
+    words, values = {}, {}
+    for w in range(0, len(flags), a_word):
+        bits = F.lit(0).cast("bigint")
+        for j, f in enumerate(flags[w : w + a_word]):
+            shift = 2 * n * j
+            seen = F.when(F.col(f), F.lit(3 << shift)).when(~F.col(f), F.lit(1 << shift)).otherwise(0).cast("bigint")
+            bits = bits.bitwiseOR(seen)
+            for i, c in enumerate(conditions):
+                no, yes = ("cov", "path") if f == "tau_hat" else (False, True)
+                state = F.shiftright(f"_bits_{w}", shift + 2 * i).bitwiseAND(F.lit(3).cast("bigint")).cast("int")
+                values[f"{c}_{f}"] = F.get(F.array(F.lit(None), F.lit(no), F.lit(None), F.lit(yes)), state)
+        words[f"_bits_{w}"] = F.call_function("shiftleft", bits, at)
+    rest = [f for f in fields if f not in flags]
+    folded = (
+        coded.select(*CASE, "condition", *rest, *[b.alias(w) for w, b in words.items()])
+        .groupBy(*CASE)
+        .agg(*[F.bit_or(w).alias(w) for w in words], *[_of(c, f).alias(f"{c}_{f}") for c in conditions for f in rest])
     )
+    for c, f in ((c, f) for c in conditions for f in rest):
+        kept = F.col(f"{c}_{f}")
+        values[f"{c}_{f}"] = F.when(kept, "path").when(~kept, "cov") if f == "tau_hat" else kept
+    return folded, {f"{c}_{f}": values[f"{c}_{f}"] for c in conditions for f in fields}
+
+
+def fold_results(outcomes: DataFrame, conditions: Sequence[str], fields: Sequence[str] = ("correct", "fired", "t_hat", "tau_hat")) -> DataFrame:
+    """One record per (pid, k): ``<condition>_<field>`` columns."""
+    folded, columns = _folded(outcomes, conditions, fields)
+    return folded.select(*CASE, *[c.alias(name) for name, c in columns.items()])
 
 
 #: What the record of a case keeps of each attempt.
@@ -112,40 +146,46 @@ RECORD_FIELDS = ("correct", "n_tokens", "fired", "t_hat", "tau_hat", "entropy_se
 
 
 def full_records(
-    outcomes: DataFrame, dense: DataFrame, ablation: DataFrame, background: DataFrame, operators: Sequence[str] = ("local_temp",)
+    outcomes: DataFrame, dense: DataFrame, ablation: DataFrame, background: DataFrame, operators: Sequence[str] = ("local_temp",),
+    flat: bool = False,
 ) -> DataFrame:
     """One record per (pid, k): a struct for each condition, ``dense`` (null where the case did not fire), the map
     ``ablation`` from offset to correct (empty without a second pass) and the struct ``background``.
 
     ``outcomes`` has one row per attempt with the fields of the record, of which a missing one is null everywhere;
     attempts that did not fire have null details. ``fire_score`` may be a struct. Attempts meet in one aggregate on
-    fixed-width values; what is per case is joined to it on the same key.
+    fixed-width values; what is per case is joined to its narrow rows on the same key, and the structs are made last. ``flat`` gives the fields of the
+    conditions as columns ``<condition>_<field>`` instead, those of ``fire_score`` among them, and makes no structs of them.
     """
     names = [*BASE_CONDITIONS, *(c for c, _ in local_temp_conditions(operators))]
     score = next((f for f in outcomes.schema if f.name == "fire_score"), None)
     parts = [f.name for f in score.dataType] if score is not None and hasattr(score.dataType, "fieldNames") else []
-    flat = outcomes.select("*", *[F.col(f"fire_score.{p}").alias(f"_score_{p}") for p in parts])
+    single = outcomes.select("*", *[F.col(f"fire_score.{p}").alias(f"_score_{p}") for p in parts])
     fields = [f for f in RECORD_FIELDS if f in outcomes.columns and not (f == "fire_score" and parts)]
-    folded = fold_results(flat, names, [*fields, *(f"_score_{p}" for p in parts)])
-
-    def entry(condition: str) -> Column:
-        values = [F.col(f"{condition}_{f}").alias(f) for f in fields]
+    folded, found = _folded(single, names, [*fields, *(f"_score_{p}" for p in parts)])
+
+    def entry(condition: str) -> list[Column]:
+        present = found[f"{condition}_correct"].isNotNull()
+        values = {f: found[f"{condition}_{f}"] for f in fields}
+        scores = {p: found[f"{condition}__score_{p}"] for p in parts}
+        fired = found.get(f"{condition}_fired", F.lit(None))
+        if flat:
+            scores = {p: F.when(fired, v) for p, v in scores.items()}
+            return [F.when(present, v).alias(f"{condition}_{f}") for f, v in {**values, **scores}.items()]
         if parts:
-            whole = F.struct(*[F.col(f"{condition}__score_{p}").alias(p) for p in parts])
-            values.append(F.when(F.col(f"{condition}_fired"), whole).alias("fire_score"))
-        return F.when(F.col(f"{condition}_correct").isNotNull(), F.struct(*values)).alias(condition)
+            values["fire_score"] = F.when(fired, F.struct(*[v.alias(p) for p, v in scores.items()]))
+        return [F.when(present, F.struct(*[v.alias(f) for f, v in values.items()])).alias(condition)]
 
-    records = folded.select(*CASE, *[entry(c) for c in names])
     own = [c for c in dense.columns if c not in (*CASE, "condition")]
     passed = dense.select(*CASE, F.struct(*own).alias("dense"))
     tried = ablation.groupBy(*CASE).agg(F.map_from_entries(F.collect_list(F.struct("offset", "correct"))).alias("ablation"))
     scalars = [f.name for f in background.schema if f.name not in CASE and f.dataType.typeName() in NUMERIC]
     known = background.select(*CASE, F.struct(*scalars).alias("background"))
     none = F.create_map().cast("map<bigint,boolean>")
-    return (
-        records.join(passed, CASE, "left").join(tried, CASE, "left").join(known, CASE, "left")
-        .withColumn("ablation", F.coalesce("ablation", none))
-    )
+    # As a lambda: the wide projection then stays out of the join's generated method, which the JVM would not compile.
+    whole = F.transform_values(F.coalesce("ablation", none), lambda _, correct: correct).alias("ablation")
+    joined = folded.join(passed, CASE, "left").join(tried, CASE, "left").join(known, CASE, "left")
+    return joined.select(*CASE, *[e for c in names for e in entry(c)], "dense", whole, "background")
 
 
 def fold_results_map(outcomes: DataFrame) -> DataFrame:
