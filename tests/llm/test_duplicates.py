@@ -133,3 +133,54 @@ def test_odd_documents_dedup(spark):
     last = next(r for r in rows if r.doc_id is None and r.n_bytes)
     assert last.n_removed >= len(plain.LONG)
     assert next(r for r in rows if r.doc_id == 1).text is None
+
+
+@pytest.mark.parametrize("shared", [1_000_000, 0])
+def test_components_across_blocks_of_a_cluster(spark, monkeypatch, shared):
+    """One line that all texts have makes one cluster; sizes, blocks and shuffled joins change nothing."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(ngram_join, "SHARED_ROWS", shared)
+    line = " the same line of seven words here"
+    rows = [(i, t + line) for i, t in copies(11, groups=8)]
+    assert joined(spark, rows) == plain.components(rows)
+
+
+def test_blocks_meet_sets_of_about_their_size_alone(spark, monkeypatch):
+    """Bytes that a set sends to a block are a part of its shingles', and a large cluster of unlike sizes is few pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "small_side", lambda df, most: df)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(1, 2**64, 20 * 2 ** (i % 6), dtype=np.uint64)) for i in range(48)]
+    near = np.sort(np.concatenate((sets[5][:-3], rng.integers(1, 2**64, 3, dtype=np.uint64))))
+    sets.append(near)
+    tokens = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], ngram_join.SETS)
+    members = spark.createDataFrame([(i, i, 0) for i in range(len(sets))], "id bigint, c bigint, cluster bigint")
+    assert [tuple(sorted(r)) for r in ngram_join.block_links(members, tokens).collect()] == [(5, 48)]
+    assert all(len(ngram_join.bitmap(s)) * 8 <= s.nbytes for s in sets)
+    for n in range(1, 3000):
+        most = n * ngram_join.DEN // ngram_join.NUM
+        assert ngram_join.class_of(most) - ngram_join.class_of(n) in (0, 1)
+
+
+def test_entries_take_a_few_bytes():
+    """An entry of a key or a shingle: at most 11 bytes before compression (20 before)."""
+    rng = np.random.default_rng(4)
+    ids = np.repeat(np.arange(10**6, 10**6 + 500), 40)
+    keys = rng.integers(0, 2**64, len(ids), dtype=np.uint64)
+    rows = list(ngram_join.dealt(keys, ids, np.full(len(ids), 40), 9))
+    assert sum(len(x) for _, *packed in rows for x in packed) <= 11 * len(ids)
+    back = [ngram_join.shared_keys((ngram_join.pa.scalar(b),), ngram_join.table_of(ngram_join.KEYED, [(b, *x), (b, *x)])) for b, *x in rows]
+    assert sum(t.num_rows for t in back) == 0
+    other = [ngram_join.shared_keys((ngram_join.pa.scalar(r[0]),), ngram_join.table_of(ngram_join.KEYED, [r, s])) for r, s in
+             zip(rows, ngram_join.dealt(keys, ids + 7, np.full(len(ids), 41), 9))]
+    assert sorted(x for t in other for x in t["id"].to_pylist()) == sorted([*ids.tolist(), *(ids + 7).tolist()])
+    assert {x for t in other for x in t["n"].to_pylist()} == {40, 41}
+
+
+def test_packed_numbers_come_back():
+    from tracefork.llm.blocks import pack_small, pack_sorted, unpack_small, unpack_sorted
+
+    for ids in ([], [7], [-5, -5, 0, 3], [-(2**62), 2**62 + 9], [1, 2, 400, 70_000, 2**40]):
+        assert unpack_sorted(pack_sorted(np.array(ids, np.int64))).tolist() == ids
+    for values in ([], [0], [255, 3], [256], [70_000], [2**40]):
+        assert unpack_small(pack_small(np.array(values, np.int64))).tolist() == values

@@ -9,14 +9,15 @@ as many segments each with its one-deletion neighbourhood. A set with too few no
 
 Sets that share a segment are candidates. How many of a candidate's shingles any other candidate has bounds its
 similarity to all of them, so most fall away before a pair is compared. What is left is compared exactly: first with
-the set that shares most segments, then, across the groups that this has made, block by block, where counts of common
-shingles are products of 0-1 matrices.
+the set that shares most segments, then across the groups that this has made. There a set travels as a bitmap of its
+shingles, to blocks of sets of about its size alone; two bitmaps differ in no more places than their sets in shingles,
+so a pair whose bitmaps differ too much is out, and the few others are compared exactly.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tracefork.llm.blocks import by_bucket, joined, pack_ids, runs_of, unpack_ids
+from tracefork.llm.blocks import by_bucket, joined, pack_ids, pack_small, pack_sorted, runs_of, unpack_ids, unpack_small, unpack_sorted
 from tracefork.llm.components import components
 from tracefork.llm.hashing import mixed
 from tracefork.llm.tables import free_name, parts_for, settle, text_bytes
@@ -40,8 +41,12 @@ NUM, DEN = 80, 100
 BAND = 1.6
 #: Bytes of text in one slice, and for one bucket of segments or shingles.
 SLICE, BUCKET = 4_000_000, 8_000_000
-#: Sets that one task compares with a hub, sets of one block, and columns of the matrices of common shingles.
+#: Sets that one task compares with a hub, sets of one block, and columns of the matrices of common bits.
 HUB_SETS, BLOCK_SETS, COLUMNS = 1_000, 700, 4_096
+#: Bits of a bitmap for each shingle, at least.
+BITS = 4
+#: Bits of a key that its bucket does not tell.
+LOW = 40
 #: Rows of a few numbers that may be shared with all tasks at once.
 SHARED_ROWS = 1_000_000
 #: What the allocation assumes: the share of shingles that some other text has, and a false candidate's cost in keys.
@@ -174,6 +179,23 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys % np.uint64(buckets)).astype(np.int64)
 
 
+def short_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys as the number of their bucket before their last ``LOW`` bits. Keys that become equal by that make candidates
+    only, and those are compared exactly."""
+    low = np.uint64(LOW)
+    return (keys >> low) % np.uint64(buckets) << low | keys & np.uint64((1 << LOW) - 1)
+
+
+def pack_low(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
+
+
+def unpack_low(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // LOW, 8), np.uint8)
+    out[:, : LOW // 8] = np.frombuffer(data, np.uint8).reshape(-1, LOW // 8)
+    return out.view("<u8").ravel()
+
+
 def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by key and id, starts of the runs of equal keys, whether each run has several ids)."""
     order = np.lexsort((ids, keys))
@@ -184,21 +206,22 @@ def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, starts, several
 
 
-def keyed_rows(bucket: int, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple:
-    return bucket, keys.tobytes(), pack_ids(ids), sizes.astype(np.int32).tobytes()
-
-
 def dealt(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows for the buckets: of each key the first entry, and under numbers below 0, spread evenly, all entries of keys
     that several ids have already."""
+    keys = short_keys(keys, buckets)
     order, starts, several = shared_runs(keys, ids)
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
     known = order[several[run]]
+    known = known[np.argsort(ids[known], kind="stable")]
     for bucket, at in by_bucket(bucket_of(mixed(ids[known].astype(np.uint64)), buckets)) if len(known) else ():
-        yield keyed_rows(-1 - bucket, keys[known[at]], ids[known[at]], sizes[known[at]])
+        at = known[at]
+        yield -1 - bucket, keys[at].tobytes(), pack_sorted(ids[at]), pack_small(sizes[at])
     first = order[starts]
-    for bucket, at in by_bucket(bucket_of(keys[first], buckets)) if len(first) else ():
-        yield keyed_rows(bucket, keys[first[at]], ids[first[at]], sizes[first[at]])
+    first = first[np.argsort(ids[first], kind="stable")]
+    for bucket, at in by_bucket((keys[first] >> np.uint64(LOW)).astype(np.int64)) if len(first) else ():
+        at = first[at]
+        yield bucket, pack_low(keys[at]), pack_sorted(ids[at]), pack_small(sizes[at])
 
 
 def table_of(schema: StructType, rows: list[tuple]) -> pa.Table:
@@ -232,23 +255,30 @@ def index(buckets: int, single: frozenset[int]):
     return scan
 
 
-def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gathered(table: pa.Table, keys_in: Callable, sizes_in: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids, sizes) of the entries of all rows; a row's sizes are read knowing how many they are."""
     columns = [table.column(c).to_pylist() for c in ("keys", "ids", "sizes")]
-    full = [(k, i, s) for k, i, s in zip(*columns) if k]
-    keys = joined([np.frombuffer(k, np.uint64) for k, _, _ in full], "u8")
-    ids = joined([unpack_ids(i) for _, i, _ in full], "i8")
-    sizes = joined([np.frombuffer(s, np.int32) for _, _, s in full], "i4").astype(np.int64)
-    return keys, ids, sizes
+    full = [(keys_in(k), unpack_sorted(i), s) for k, i, s in zip(*columns) if i]
+    keys, ids = joined([k for k, _, _ in full], "u8").astype(np.uint64), joined([i for _, i, _ in full], "i8")
+    return keys, ids, joined([sizes_in(s, len(i)) for _, i, s in full], "u8").astype(np.int64)
+
+
+def counted(sizes: bytes, n: int) -> np.ndarray:
+    return unpack_small(sizes)
 
 
 def shared_keys(key: tuple, table: pa.Table) -> pa.Table:
     """The entries of a bucket whose key several ids have."""
-    keys, ids, sizes = gathered(table)
-    if key[0].as_py() >= 0:
+    bucket = key[0].as_py()
+    if bucket >= 0:
+        low, ids, sizes = gathered(table, unpack_low, counted)
+        keys = low | np.uint64(bucket << LOW)
         order, starts, several = shared_runs(keys, ids)
         keep = order[np.repeat(several, np.diff(np.append(starts, len(order))))]
         keys, ids, sizes = keys[keep], ids[keep], sizes[keep]
-    thin = [np.frombuffer(s, np.int32)[0] for k, s in zip(table.column("keys").to_pylist(), table.column("sizes").to_pylist()) if not k]
+    else:
+        keys, ids, sizes = gathered(table, lambda k: np.frombuffer(k, np.uint64), counted)
+    thin = [np.frombuffer(s, np.int32)[0] for i, s in zip(table.column("ids").to_pylist(), table.column("sizes").to_pylist()) if not i]
     extra = np.array(thin, np.int64)
     return pa.table({"key": np.concatenate((keys.astype(np.int64), extra)), "id": np.concatenate((ids, extra)), "n": np.concatenate((sizes, extra))})
 
@@ -261,14 +291,14 @@ def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_rows(buckets: int):
-    """Shingles of the candidates, dealt to buckets like the keys; a first entry whose shingle is known to be shared has
-    size 0, for it is counted with the known ones."""
+    """Shingles of the candidates, dealt to buckets; 32 bits and the bucket stand for a shingle, so a count of shared
+    ones may be too high, never too low. A first entry whose shingle is known to be shared has its bit unset, for it is
+    counted with the known ones."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                sets = [np.frombuffer(t, np.uint64) for t in some.column(1).to_pylist()]
+            for some in slices(batch, 2, SLICE):
+                sets = shingle_sets(texts(some.column(2)))
                 ids = np.repeat(some.column(0).to_numpy(), [len(s) for s in sets])
                 tokens = joined(sets, "u8")
                 order, starts, several = shared_runs(tokens, ids)
@@ -276,21 +306,28 @@ def token_rows(buckets: int):
                 rows = []
                 known, n = np.unique(ids[order[several[run]]], return_counts=True)
                 for bucket, own in by_bucket(bucket_of(mixed(known.astype(np.uint64)), buckets)) if len(known) else ():
-                    rows.append(keyed_rows(-1 - bucket, known[own].astype(np.uint64), known[own], n[own]))
-                first, fresh = order[starts], (~several).astype(np.int32)
-                for bucket, own in by_bucket(bucket_of(tokens[first], buckets)) if len(first) else ():
-                    rows.append(keyed_rows(bucket, tokens[first[own]], ids[first[own]], fresh[own]))
+                    rows.append((-1 - bucket, b"", pack_sorted(known[own]), pack_small(n[own])))
+                by_id = np.argsort(ids[order[starts]], kind="stable")
+                first, fresh = order[starts][by_id], ~several[by_id]
+                for bucket, own in by_bucket(bucket_of(tokens[first] >> np.uint64(LOW), buckets)) if len(first) else ():
+                    at = first[own]
+                    rows.append((bucket, tokens[at].astype(np.uint32).tobytes(), pack_sorted(ids[at]), np.packbits(fresh[own]).tobytes()))
                 yield from table_of(KEYED, rows).to_batches()
 
     return scan
 
 
+def flags_in(sizes: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(sizes, np.uint8), count=n)
+
+
 def shared_counts(parts: int):
     """How many shingles of each id other ids have too, as far as a bucket tells: packed rows, dealt to ``parts`` by id."""
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        keys, ids, sizes = gathered(table)
-        if key[0].as_py() >= 0:
+        bucket = key[0].as_py()
+        keys, ids, sizes = gathered(table, lambda k: np.frombuffer(k, np.uint32), flags_in if bucket >= 0 else counted)
+        if bucket >= 0:
             order, starts, several = shared_runs(keys, ids)
             run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
             lone = sizes[order] == 0
@@ -328,12 +365,14 @@ def compare_with_hub(key: tuple, table: pa.Table) -> pa.Table:
     """Links of a hub with some of the sets that were told to try it, by exact comparison."""
     hub, ids = key[0].as_py(), table.column("id").to_numpy()
     sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-    centre = next(s for s, i in zip(sets, ids) if i == hub)
+    centres = [s for s, i in zip(sets, ids) if i == hub]
     linked = []
     for own, i in zip(sets, ids.tolist()):
-        at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
-        if i != hub and alike((centre[at] == own).sum(), np.int64(len(own)), np.int64(len(centre))):
-            linked.append(i)
+        for centre in centres if i != hub else ():
+            at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+            if alike((centre[at] == own).sum(), np.int64(len(own)), np.int64(len(centre))):
+                linked.append(i)
+                break
     return pa.table({"a": pa.array(linked, pa.int64()), "b": pa.array([hub] * len(linked), pa.int64())})
 
 
@@ -349,59 +388,97 @@ def hub_links(best: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("hub", "salt").applyInArrow(compare_with_hub, LINKS)
 
 
+@cache
+def class_start(number: int) -> int:
+    """The smallest size of a class: sets that are alike enough are in one class or in neighbours."""
+    return 1 if number == 0 else class_start(number - 1) * DEN // NUM + 1
+
+
+@cache
+def class_of(n: int) -> int:
+    number = 0
+    while class_start(number + 1) <= n:
+        number += 1
+    return number
+
+
+MARKED = StructType([*(StructField(n, LongType()) for n in ("id", "c", "cluster", "n", "class")), StructField("bits", BinaryType())])
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The places that the shingles' last bits name; the length is a power of two."""
+    width = max(64, 1 << (BITS * len(tokens) - 1).bit_length())
+    out = np.zeros(width, bool)
+    out[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes, classes and bitmaps of sets (``id``, ``c``, ``cluster``, ``tokens``)."""
+    for batch in batches:
+        sets = [np.frombuffer(t, np.uint64) for t in batch.column(3).to_pylist()]
+        n = [len(s) for s in sets]
+        added = [pa.array(n, pa.int64()), pa.array([class_of(x) for x in n], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], names=MARKED.names)
+
+
 def compare_blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """Links between two blocks of one cluster (or inside one block), as many as join the same components."""
-    i, j = key[1].as_py(), key[2].as_py()
-    ids, comp, block = (table.column(c).to_numpy() for c in ("id", "c", "block"))
-    sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, code, often = np.unique(joined(sets, "u8"), return_inverse=True, return_counts=True)
-    of = np.repeat(np.arange(len(sets)), n)
-    keep = often[code] > 1
-    of, code = of[keep], (np.cumsum(often > 1) - 1)[code[keep]]
-    order = np.argsort(code, kind="stable")
-    of, code = of[order], code[order]
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    place = np.zeros(len(sets), np.int64)
+    """Pairs across components between two blocks of one cluster (or inside one block) whose bitmaps differ in no more
+    places than sets that are alike enough do in shingles."""
+    _, lower, i, up, j = (k.as_py() for k in key)
+    ids, comp, n, size_class, block = (table.column(c).to_numpy() for c in ("id", "c", "n", "class", "block"))
+    maps = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+    width = min(map(len, maps))
+    folded = np.stack([np.bitwise_or.reduce(m.reshape(-1, width)) for m in maps])
+    left, right = np.flatnonzero((size_class == lower) & (block == i)), np.flatnonzero((size_class == lower + up) & (block == j))
     common = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
-        own = slice(*np.searchsorted(code, (at, at + COLUMNS)))
-        sides = []
-        for rows in (left, right):
-            place[:], place[rows] = -1, np.arange(len(rows))
-            matrix = np.zeros((len(rows), COLUMNS), np.float32)
-            row = place[of[own]]
-            matrix[row[row >= 0], (code[own] - at)[row >= 0]] = 1.0
-            sides.append(matrix)
-        common += sides[0] @ sides[1].T
-    found = alike(common, n[left][:, None], n[right][None, :]) & (comp[left][:, None] != comp[right][None, :])
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    links = []
-    for x, y in zip(*(side[at].tolist() for side, at in zip((left, right), np.nonzero(found)))):
-        a, b = top(comp[x]), top(comp[y])
-        if a != b:
-            root[a] = b
-            links.append((ids[x], ids[y]))
-    return pa.table({name: pa.array([link[at] for link in links], pa.int64()) for at, name in enumerate("ab")})
+    for at in range(0, width, COLUMNS // 8):
+        x, y = (np.unpackbits(folded[rows, at : at + COLUMNS // 8], axis=1).astype(np.float32) for rows in (left, right))
+        common += x @ y.T
+    ones = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+    apart = ones[left][:, None] + ones[right][None, :] - 2 * common.astype(np.int64)
+    both = n[left][:, None] + n[right][None, :]
+    least = np.minimum(n[left][:, None], n[right][None, :])
+    found = (comp[left][:, None] != comp[right][None, :]) & alike(np.minimum((both - apart) // 2, least), both, 0)
+    if not up and i == j:
+        found = np.triu(found, 1)
+    x, y = np.nonzero(found)
+    return pa.table({"a": ids[left][x], "b": ids[right][y]})
+
+
+def block_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) across components among the members (``id``, ``c``) of each ``cluster`` that may be alike. The
+    sets of a cluster and a class of sizes are cut into blocks, and every pair of blocks of one class or of neighbours
+    is one task, so no task grows with the cluster."""
+    told = sets.join(small_side(members, SHARED_ROWS), "id").select("id", "c", "cluster", "tokens")
+    rows = settle(lambda: told.mapInArrow(marked, MARKED))
+    blocks = rows.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    blocks = settle(blocks)
+    for name, shift in (("blocks", 0), ("above", 1), ("below", -1)):
+        side = blocks.select("cluster", (F.col("class") - shift).alias("class"), F.col("blocks").alias(name))
+        rows = rows.join(small_side(side, SHARED_ROWS), ["cluster", "class"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own, lower = F.col("block"), F.col("class")
+
+    def meets(count: str, pair: Callable[[Column], tuple[Column, Column, int, Column]]) -> Column:
+        each = lambda o: F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("lower", "i", "up", "j"), pair(o))))
+        some = F.transform(F.sequence(F.lit(0), F.col(count) - 1), each)
+        return F.coalesce(F.when(F.col(count) > 0, some), F.array().cast("array<struct<lower:bigint,i:bigint,up:bigint,j:bigint>>"))
+
+    meetings = F.concat(
+        meets("blocks", lambda o: (lower, F.least(own, o), 0, F.greatest(own, o))),
+        meets("above", lambda o: (lower, own, 1, o)),
+        meets("below", lambda o: (lower - 1, o, 1, own)),
+    )
+    dealt = rows.select("id", "c", "n", "class", "bits", "block", "cluster", F.explode(meetings).alias("at"))
+    dealt = dealt.select("id", "c", "n", "class", "bits", "block", "cluster", "at.*")
+    return dealt.groupBy("cluster", "lower", "i", "up", "j").applyInArrow(compare_blocks, LINKS).distinct()
 
 
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components among the members (``id``, ``c``) of each ``cluster``. A cluster is cut into blocks and
-    every pair of blocks is one task, so no task grows with the cluster."""
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("id", "c", "cluster", "block", other).select(
-        "id", "c", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    rows = sets.join(small_side(pairs, SHARED_ROWS), "id")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare_blocks, LINKS)
+    """Links across components among the members (``id``, ``c``) of each ``cluster``, by exact comparison of the pairs
+    that their bitmaps leave."""
+    return hub_links(settle(lambda: block_pairs(members, sets)), sets)
 
 
 def restricted(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -409,9 +486,9 @@ def restricted(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFr
     return df.join(small_side(ids, SHARED_ROWS), on, how)
 
 
-def candidate_links(rows: DataFrame, total: int) -> DataFrame:
+def candidate_links(rows: DataFrame, total: int, sizes: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) among distinct sets of ``rows`` (``_id``, ``_hash``, ``_text``) that join the same ids as
-    all links do."""
+    all links do. ``sizes`` has ``_id`` and ``n`` of those sets."""
     buckets, single = parts_for(total, BUCKET), frozenset()
     while True:
         shared = settle(
@@ -421,15 +498,17 @@ def candidate_links(rows: DataFrame, total: int) -> DataFrame:
         if not thin:
             break
         single |= thin
-    active = shared.select(F.col("id").alias("_id")).distinct()
-    sets = settle(lambda: restricted(rows, active, ["_id"], "left_semi").mapInArrow(token_sets, SETS))
-    size = sets.groupBy("id").agg((F.max(F.length("tokens")) / 8).cast("bigint").alias("m"))
+    active = settle(lambda: shared.select(F.col("id").alias("_id")).distinct())
+    size = settle(
+        lambda: restricted(sizes, active, ["_id"], "left_semi").groupBy(F.col("_id").alias("id")).agg(F.max("n").alias("m"))
+    )
 
     # An id meets at most as many buckets as it has shingles; parts hold the counts of that many.
     parts = parts_for(12 * (size.agg(F.sum(F.least("m", F.lit(2 * buckets)))).head()[0] or 0), BUCKET)
 
     def hopes() -> DataFrame:
-        counted = sets.mapInArrow(token_rows(buckets), KEYED).groupBy("bucket").applyInArrow(shared_counts(parts), PARTIAL)
+        tried = restricted(rows, active, ["_id"], "left_semi").mapInArrow(token_rows(buckets), KEYED)
+        counted = tried.groupBy("bucket").applyInArrow(shared_counts(parts), PARTIAL)
         common = counted.groupBy("part").applyInArrow(summed_counts, COUNTS).join(size, "id")
         return common.where(F.col("o") * DEN >= F.col("m") * NUM).select("id", "o")
 
@@ -444,6 +523,8 @@ def candidate_links(rows: DataFrame, total: int) -> DataFrame:
         return shares.groupBy("a").agg(F.max_by("b", F.struct("keys", -F.col("b"))).alias("b"))
 
     tries = settle(best)
+    kept = hopeful.select(F.col("id").alias("_id"))
+    sets = settle(lambda: restricted(rows, kept, ["_id"], "left_semi").mapInArrow(token_sets, SETS))
     links = settle(lambda: hub_links(tries, sets))
     made = components(links)
 
@@ -474,7 +555,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     copies = known.where("first is not null and (_id, _hash) <> (first._id, first._hash)")
     wordless = known.where("first is null")
     skipped = copies.select("_id", "_hash").unionByName(wordless.select("_id", "_hash")).distinct()
-    links = candidate_links(restricted(rows, skipped, ["_id", "_hash"], "left_anti"), text_bytes(docs))
+    sizes = known.where("first is not null and (_id, _hash) = (first._id, first._hash)").select("_id", "n")
+    links = candidate_links(restricted(rows, skipped, ["_id", "_hash"], "left_anti"), text_bytes(docs), sizes)
     own = copies.select(F.col("_id").alias("a"), F.col("first._id").alias("b")).where("a <> b")
     made = components(links.unionByName(own)).withColumnRenamed("id", "_id")
     out = known.join(made, "_id", "left")
