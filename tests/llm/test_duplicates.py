@@ -184,3 +184,12 @@ def test_packed_numbers_come_back():
         assert unpack_sorted(pack_sorted(np.array(ids, np.int64))).tolist() == ids
     for values in ([], [0], [255, 3], [256], [70_000], [2**40]):
         assert unpack_small(pack_small(np.array(values, np.int64))).tolist() == values
+
+
+def test_one_of_each_across_blocks_of_a_cluster(spark, monkeypatch):
+    """The pipeline's stage keeps the smallest id of each component where a cluster has many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+    rows = [(i, t + " the same line of seven words here") for i, t in copies(17, groups=5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
+    assert kept == sorted(i for i, (_, component) in plain.components(rows).items() if i == component)
